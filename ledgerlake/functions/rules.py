@@ -1,0 +1,24 @@
+"""Violation texts. Each one is definitely true or false: an unknown value is settled here."""
+
+from __future__ import annotations
+
+
+def outside_window(column: str, start: str, end: str) -> str:
+    """Missing, or not in the half-open window [start, end)."""
+    inside = f"{column} >= TIMESTAMP_NTZ '{start}' AND {column} < TIMESTAMP_NTZ '{end}'"
+    return f"NOT coalesce({inside}, false)"
+
+
+def not_after(column: str, earlier: str) -> str:
+    """Missing, or not strictly later than ``earlier``. A missing ``earlier`` decides nothing."""
+    return f"coalesce({column} <= {earlier}, {column} IS NULL)"
+
+
+def negative(column: str) -> str:
+    """Missing, or below zero. NaN is not below zero and passes."""
+    return f"coalesce({column} < 0, true)"
+
+
+def not_positive(column: str) -> str:
+    """Missing, zero or below zero."""
+    return f"coalesce({column} <= 0, true)"
