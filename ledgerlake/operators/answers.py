@@ -1,4 +1,7 @@
-"""Business questions on the clean table."""
+"""Business questions on the clean table.
+
+Results are not sorted here: most feed a further step, and a reader sorts once at the end.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +19,9 @@ def group_average(
     df: DataFrame, group: str, measure: str, digits: int, mean: str, count: str
 ) -> DataFrame:
     """Rounded mean and number of rows per group."""
-    return (
-        df.groupBy(group)
-        .agg(
-            F.round(F.avg(measure), digits).alias(mean),
-            F.count(F.lit(1)).alias(count),
-        )
-        .orderBy(group)
+    return df.groupBy(group).agg(
+        F.round(F.avg(measure), digits).alias(mean),
+        F.count(F.lit(1)).alias(count),
     )
 
 
@@ -69,7 +68,6 @@ def scoped_average(
             F.sum("_rows").alias(count),
         )
         .select(label, group, mean, count)
-        .orderBy(label, group)
     )
 
 
@@ -82,15 +80,11 @@ def scopes_side_by_side(
     df: DataFrame, group: str, member: str, measure: str, scopes: Scopes, digits: int, prefix: str
 ) -> DataFrame:
     """One mean column per scope, one row per group that occurs in any scope."""
-    return (
-        df.groupBy(group)
-        .agg(
-            *(
-                F.round(F.avg(_in_scope(member, members, measure)), digits).alias(prefix + label)
-                for label, members in scopes.items()
-            )
+    return df.groupBy(group).agg(
+        *(
+            F.round(F.avg(_in_scope(member, members, measure)), digits).alias(prefix + label)
+            for label, members in scopes.items()
         )
-        .orderBy(group)
     )
 
 
@@ -103,7 +97,6 @@ def pivot_scopes(
         .pivot(label, list(scopes))
         .agg(F.max(mean))
         .withColumnsRenamed({s: prefix + s for s in scopes})
-        .orderBy(group)
     )
 
 
@@ -117,7 +110,7 @@ def occupancy_and_demand(
         value = _in_scope(member, members, measure)
         columns.append(F.round(F.avg(value), 3).alias(f"ocupacao_{label}"))
         columns.append(F.round(F.sum(value) / days, 1).alias(f"demanda_{label}"))
-    return df.groupBy(group).agg(*columns).orderBy(group)
+    return df.groupBy(group).agg(*columns)
 
 
 def _extremes(df: DataFrame, group: str, measures: Sequence[str], pick: Column) -> DataFrame:
@@ -129,7 +122,6 @@ def _extremes(df: DataFrame, group: str, measures: Sequence[str], pick: Column)
         long.groupBy("measure")
         .agg(pick.alias("_pick"))
         .select("measure", F.col(f"_pick.{group}").alias(group), F.col("_pick.value").alias("value"))
-        .orderBy("measure")
     )
 
 
@@ -157,13 +149,10 @@ def ablation(
 
     A group stays when any scenario has rows for it; a scenario without rows gives NULL.
     """
-    return (
-        df.groupBy(group)
-        .agg(
-            *(
-                F.round(F.avg(F.when(F.expr(condition), F.col(measure))), digits).alias(name)
-                for name, condition in scenarios.items()
-            )
+    return df.groupBy(group).agg(
+        *(
+            F.round(F.avg(F.when(F.expr(condition), F.col(measure))), digits).alias(name)
+            for name, condition in scenarios.items()
         )
     )
 

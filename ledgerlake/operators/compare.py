@@ -38,7 +38,7 @@ def compare(
     joined = a.join(b, same_key, "full")
     return joined.select(
         *(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), *columns, ok.alias("ok")
-    ).orderBy(*keys)
+    )
 
 
 def deviation(
@@ -59,7 +59,7 @@ def deviation(
         expected_value,
         difference.alias("desvio"),
         F.coalesce(F.abs(difference) <= tolerance, F.lit(False)).alias("ok"),
-    ).orderBy(key)
+    )
 
 
 def volume_against_expected(
@@ -90,5 +90,4 @@ def volume_against_expected(
             "expected",
             F.when(F.col("rows") == F.col("expected"), "OK").otherwise("DIVERGE").alias("status"),
         )
-        .orderBy(scope, month)
     )

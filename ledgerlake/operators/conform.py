@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlake.sources.files import LandedSource, variants
+from ledgerlake.sources.files import LandedSource, file_month, variants
 from ledgerlake.spec import Dataset, SourceSpec, TableSpec
 
 UNEXPECTED = "unexpected"
@@ -116,15 +116,10 @@ def conform_sources(
 ) -> DataFrame:
     """Union of all sources by name: no row filtered, no duplicate removed."""
     require_no_drift(sources, dataset)
-    pattern = dataset.layout.pattern()
     parts = []
     for variant in variants(sources, dataset):
         only_month = variant.sources[0].month if len(variant.sources) == 1 else None
-        month = (
-            F.lit(only_month)
-            if only_month
-            else F.regexp_extract(F.col("_metadata.file_path"), pattern, 2)
-        )
+        month = F.lit(only_month) if only_month else file_month(dataset.layout)
         parts.append(
             conform(
                 variant.read(spark),
@@ -139,11 +134,7 @@ def conform_sources(
 
 def partition_counts(df: DataFrame, table: TableSpec, name: str = "linhas") -> DataFrame:
     """Rows per scope and file month. On the partitioned table this reads footers only."""
-    return (
-        df.groupBy(table.scope, table.month)
-        .agg(F.count(F.lit(1)).alias(name))
-        .orderBy(table.scope, table.month)
-    )
+    return df.groupBy(table.scope, table.month).agg(F.count(F.lit(1)).alias(name))
 
 
 def total_count(df: DataFrame, name: str = "linhas") -> DataFrame:

@@ -129,18 +129,13 @@ def quality_metrics(
     )
 
 
-def metrics_in_order(metrics: DataFrame, names: MetricSpec) -> DataFrame:
-    return metrics.select(names.metric, names.scope, names.value).orderBy(
-        names.scope, names.metric
-    )
+def metric_values(metrics: DataFrame, names: MetricSpec) -> DataFrame:
+    """The metrics without the time of the run."""
+    return metrics.select(names.metric, names.scope, names.value)
 
 
 def metrics_of(metrics: DataFrame, names: MetricSpec, scope: str) -> DataFrame:
-    return (
-        metrics.filter(F.col(names.scope) == scope)
-        .select(names.metric, names.value)
-        .orderBy(names.metric)
-    )
+    return metrics.filter(F.col(names.scope) == scope).select(names.metric, names.value)
 
 
 def _metric_sums(metrics: DataFrame, names: MetricSpec) -> dict[str, Column]:
@@ -221,7 +216,7 @@ def partition_check_rollup(
         scope_counts(clean, names.scope, names.total),
         scope_counts(rejected, names.scope, names.total),
         names.scope,
-    ).orderBy(names.scope)
+    )
 
 
 def reason_check(
@@ -291,13 +286,9 @@ def cleaning_impact(metrics: DataFrame, names: MetricSpec, digits: int = 4) -> D
 def reasons_by_scope(
     rejected: DataFrame, reason: str, by: str, scopes: Sequence[str]
 ) -> DataFrame:
-    return (
-        rejected.groupBy(reason)
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            *(F.count_if(F.col(by) == s).alias(s) for s in scopes),
-        )
-        .orderBy(reason)
+    return rejected.groupBy(reason).agg(
+        F.count(F.lit(1)).alias("total"),
+        *(F.count_if(F.col(by) == s).alias(s) for s in scopes),
     )
 
 
@@ -323,7 +314,6 @@ def reason_by_source(
         rejected.filter(F.col(reason) == rule_name)
         .groupBy(month)
         .agg(F.count(F.lit(1)).alias(name))
-        .orderBy(month)
     )
 
 

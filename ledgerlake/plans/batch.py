@@ -221,9 +221,10 @@ def load_metrics(
         warehouse.metrics_path,
     )
     metrics = spark.table(metrics_table)
+    # A few rows, used by both checks.
     counted = quality.scope_counts(
         conformed(spark, dataset, warehouse), names.scope, names.total
-    )
+    ).cache()
     quality.require_zero_difference(
         quality.reconcile(metrics, counted, names), "input is not clean plus rejected"
     )
@@ -235,6 +236,7 @@ def load_metrics(
         quality.partition_check(counted, *sides, names.scope),
         "stored clean and rejected rows are not the input",
     )
+    counted.unpersist()
 
 
 def answer(spark: SparkSession, warehouse: Warehouse, hour_month: str) -> dict[str, DataFrame]:

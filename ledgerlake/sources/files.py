@@ -11,10 +11,11 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlake.spec import Dataset
+from ledgerlake.spec import Dataset, Layout
 
 _FOOTER_THREADS = 16
 
@@ -57,6 +58,19 @@ class Variant:
         return spark.read.schema(self.schema).parquet(*(s.path for s in self.sources))
 
 
+def file_month(layout: Layout) -> Column:
+    """Month in the path of the file a row was read from.
+
+    Evaluated for every row, so the text before the month is searched for; the regular
+    expression of the layout costs about as much as decoding the row.
+    """
+    path = F.col("_metadata.file_path")
+    marker = layout.month_marker()
+    if marker is None:
+        return F.regexp_extract(path, layout.pattern(), 2)
+    return F.substring(F.substring_index(path, marker, -1), 1, len("yyyy-MM"))
+
+
 def variants(sources: Sequence[LandedSource], dataset: Dataset) -> list[Variant]:
     groups: dict[tuple, list[LandedSource]] = {}
     for source in sources:

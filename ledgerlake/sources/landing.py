@@ -65,6 +65,7 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Path and size of each file below ``root``. The contents are not read.
 
+    A file of zero bytes is not listed, so it counts as absent: there is nothing in it to load.
     Listed sizes would spread the files over one task per 128 MB although only file status is
     looked up, so the listing is packed into a few tasks.
     """

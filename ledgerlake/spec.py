@@ -153,6 +153,12 @@ class Layout:
                 regex += groups.pop(name, repeated[name])
         return regex + "(?:/.*)?$"
 
+    def month_marker(self) -> str | None:
+        """Text right before the month in every path, when it tells where the month starts."""
+        tail = self.path.replace("{file}", self.file)
+        marker = re.search(r"[^{}]*(?=\{month\})", tail).group()
+        return marker if marker.strip("/") else None
+
 
 @dataclass(frozen=True)
 class Dataset:

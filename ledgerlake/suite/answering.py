@@ -26,24 +26,30 @@ def _through_view(spark: SparkSession, view: str, rows: DataFrame, sql) -> DataF
     return spark.table(view)
 
 
-def month_avg_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _month_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.clean(spark, sf_dir)
-    answer = _through_view(spark, taxi.MONTH_VIEW, rows, views.month_view_sql)
-    return answer.orderBy(taxi.PICKUP_MONTH)
+    return _through_view(spark, taxi.MONTH_VIEW, rows, views.month_view_sql)
 
 
-def hour_avg_passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = _through_view(
+def _hour_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_view(
         spark,
         taxi.HOUR_VIEW,
         fixtures.event_clean(spark, sf_dir),
         lambda trips: views.hour_view_sql(trips, fixtures.EVENT_MONTH),
     )
-    return answer.orderBy(taxi.SCOPE, taxi.PICKUP_HOUR)
+
+
+def month_avg_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _month_view(spark, sf_dir).orderBy(taxi.PICKUP_MONTH)
+
+
+def hour_avg_passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hour_view(spark, sf_dir).orderBy(taxi.SCOPE, taxi.PICKUP_HOUR)
 
 
 def hour_avg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hour_avg_passengers(spark, sf_dir).agg(F.count(F.lit(1)).alias("linhas"))
+    return _hour_view(spark, sf_dir).agg(F.count(F.lit(1)).alias("linhas"))
 
 
 def _event_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ def hour_scopes_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hour_scopes_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.pivot_scopes(
-        hour_avg_passengers(spark, sf_dir),
+        _hour_view(spark, sf_dir),
         taxi.PICKUP_HOUR,
         taxi.SCOPE,
         taxi.HOUR_MEAN,
@@ -93,6 +99,10 @@ def trough_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.troughs(hour_occupancy_demand(spark, sf_dir), taxi.PICKUP_HOUR, _MEASURES)
 
 
+def _sorted(query, *keys: str):
+    return lambda spark, sf_dir: query(spark, sf_dir).orderBy(*keys)
+
+
 def scope_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (f"media_{s}" for s in taxi.SCOPES)
     return answers.widest_gap(hour_scopes_pivot(spark, sf_dir), taxi.PICKUP_HOUR, a, b)
@@ -100,7 +110,7 @@ def scope_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parity_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.compare(
-        month_avg_amount(spark, sf_dir),
+        _month_view(spark, sf_dir),
         views.month_average(fixtures.clean(spark, sf_dir)),
         [taxi.PICKUP_MONTH],
         {"media": (taxi.MONTH_MEAN, taxi.MONTH_MEAN), "qtd": (taxi.TRIPS, taxi.TRIPS)},
@@ -129,7 +139,7 @@ def benchmark_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
         taxi.TRIPS,
     )
     return compare.deviation(
-        month_avg_amount(spark, sf_dir),
+        _month_view(spark, sf_dir),
         unfiltered.withColumnRenamed(taxi.FILE_MONTH, taxi.PICKUP_MONTH),
         taxi.PICKUP_MONTH,
         taxi.MONTH_MEAN,
@@ -149,7 +159,7 @@ def ablation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.growth(month_avg_amount(spark, sf_dir), taxi.PICKUP_MONTH, taxi.MONTH_MEAN)
+    return answers.growth(_month_view(spark, sf_dir), taxi.PICKUP_MONTH, taxi.MONTH_MEAN)
 
 
 def full_run_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,19 +175,19 @@ QUERIES = {
     "month_avg_amount": month_avg_amount,
     "hour_avg_passengers": hour_avg_passengers,
     "hour_avg_rows": hour_avg_rows,
-    "hour_scopes_joined": hour_scopes_joined,
-    "hour_scopes_pivot": hour_scopes_pivot,
-    "hour_occupancy_demand": hour_occupancy_demand,
+    "hour_scopes_joined": _sorted(hour_scopes_joined, taxi.PICKUP_HOUR),
+    "hour_scopes_pivot": _sorted(hour_scopes_pivot, taxi.PICKUP_HOUR),
+    "hour_occupancy_demand": _sorted(hour_occupancy_demand, taxi.PICKUP_HOUR),
     "peak_hours": peak_hours,
     "trough_hours": trough_hours,
     "scope_gap": scope_gap,
-    "parity_month": parity_month,
-    "parity_hour": parity_hour,
-    "benchmark_deviation": benchmark_deviation,
+    "parity_month": _sorted(parity_month, taxi.PICKUP_MONTH),
+    "parity_hour": _sorted(parity_hour, taxi.PICKUP_HOUR),
+    "benchmark_deviation": _sorted(benchmark_deviation, taxi.PICKUP_MONTH),
     "ablation_month": ablation_month,
     "month_growth": month_growth,
-    "full_run_month": full_run_month,
-    "full_run_hour": full_run_hour,
+    "full_run_month": _sorted(full_run_month, taxi.PICKUP_MONTH),
+    "full_run_hour": _sorted(full_run_hour, taxi.SCOPE, taxi.PICKUP_HOUR),
 }
 
 _BY_MONTH = """SELECT pickup_year_month, round(avg(total_amount), 2) AS media_total_amount,

@@ -27,10 +27,9 @@ def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _per_variant(spark: SparkSession, sf_dir: str, step) -> DataFrame:
     """``step(df, source, month)`` on each schema variant, with its fleet and file month."""
-    file_month = F.regexp_extract("_metadata.file_path", fixtures.LAYOUT.pattern(), 2)
     parts = []
     for variant in files.variants(fixtures.landed_sources(spark, sf_dir), _DATASET):
-        raw = variant.read(spark).withColumn(taxi.FILE_MONTH, file_month)
+        raw = variant.read(spark).withColumn(taxi.FILE_MONTH, files.file_month(fixtures.LAYOUT))
         done = step(raw, _DATASET.source(variant.scope), variant.sources[0].month)
         parts.append(done.withColumn(taxi.FLEET, F.lit(variant.scope)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -110,7 +109,8 @@ def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform.partition_counts(_bronze(spark, sf_dir), _TABLE)
+    counts = conform.partition_counts(_bronze(spark, sf_dir), _TABLE)
+    return counts.orderBy(taxi.FLEET, taxi.FILE_MONTH)
 
 
 def bronze_total(spark: SparkSession, sf_dir: str) -> DataFrame:

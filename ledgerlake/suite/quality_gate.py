@@ -51,11 +51,13 @@ def dq_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics_in_order(_metrics(spark, sf_dir), _NAMES)
+    values = quality.metric_values(_metrics(spark, sf_dir), _NAMES)
+    return values.orderBy(_NAMES.scope, _NAMES.metric)
 
 
 def dq_metrics_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics_of(_metrics(spark, sf_dir), _NAMES, _NAMES.total)
+    total = quality.metrics_of(_metrics(spark, sf_dir), _NAMES, _NAMES.total)
+    return total.orderBy(_NAMES.metric)
 
 
 def dq_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +78,7 @@ def dq_partition_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         _stored(spark, sf_dir, views.TRIPS),
         _stored(spark, sf_dir, views.REJECTED_TRIPS),
         _NAMES,
-    )
+    ).orderBy(taxi.FLEET)
 
 
 def dq_reason_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,8 @@ def dq_reconcile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dq_reason_by_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = fixtures.rejected(spark, sf_dir)
-    return quality.reasons_by_scope(rejected, taxi.REJECT_REASON, taxi.FLEET, taxi.FLEETS)
+    counts = quality.reasons_by_scope(rejected, taxi.REJECT_REASON, taxi.FLEET, taxi.FLEETS)
+    return counts.orderBy(taxi.REJECT_REASON)
 
 
 def dq_worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +103,8 @@ def dq_worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dq_reason_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = fixtures.rejected(spark, sf_dir)
-    return quality.reason_by_source(rejected, taxi.REJECT_REASON, R1, taxi.FILE_MONTH)
+    counts = quality.reason_by_source(rejected, taxi.REJECT_REASON, R1, taxi.FILE_MONTH)
+    return counts.orderBy(taxi.FILE_MONTH)
 
 
 def dq_quarantine_count(spark: SparkSession, sf_dir: str) -> DataFrame:
