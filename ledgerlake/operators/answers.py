@@ -121,7 +121,7 @@ def _extremes(df: DataFrame, group: str, measures: Sequence[str], pick: Column)
     return (
         long.groupBy("measure")
         .agg(pick.alias("_pick"))
-        .select("measure", F.col(f"_pick.{group}").alias(group), F.col("_pick.value").alias("value"))
+        .select("measure", f"_pick.{group}", "_pick.value")
     )
 
 

@@ -88,10 +88,21 @@ def check_landing(
     landing_root: str,
     partitions: Sequence[Partition],
 ) -> None:
+    """Every source must be there; a scope landed with all its months must have its known bytes."""
     grid = landing.requested_grid(spark, partitions)
     expected = landing.manifest(grid, dataset.layout, landing_root)
-    sizes = landing.source_sizes(landing.listing(spark, landing_root), dataset.layout)
+    sizes = landing.source_sizes(landing.listing(spark, landing_root), dataset.layout).cache()
     landing.require_all(expected, sizes)
+    whole = [
+        (scope, total)
+        for scope, total in dataset.expected_bytes.items()
+        if {m for s, m in partitions if s == scope} == set(dataset.months)
+    ]
+    if whole:
+        totals = spark.createDataFrame(whole, "scope string, expected_bytes long")
+        files = landing.inventory(expected, sizes).join(totals, "scope", "left_semi")
+        landing.require_intact(landing.integrity(files, totals))
+    sizes.unpersist()
 
 
 def load_conformed(

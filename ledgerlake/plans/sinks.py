@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,12 +76,19 @@ def create_schema(spark: SparkSession, name: str) -> None:
 def register_table(
     spark: SparkSession, name: str, path: str, ddl: str, partition_cols: Sequence[str]
 ) -> None:
-    """Catalog table over partitioned files, with declared types and the partitions now there."""
+    """Catalog table over partitioned files, with declared types and the partitions now there.
+
+    A table of that name that lies elsewhere raises: its files would be read instead.
+    """
     partitioning = ", ".join(partition_cols)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet "
         f"PARTITIONED BY ({partitioning}) LOCATION '{path}'"
     )
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'")
+    location = described.first()["data_type"]
+    if _without_scheme(location) != _without_scheme(path):
+        raise ValueError(f"table {name} already lies in {location}, not in {path}")
     spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     spark.catalog.refreshTable(name)
 
@@ -100,6 +108,10 @@ def views_in(spark: SparkSession, schema: str) -> DataFrame:
     return spark.sql(f"SHOW VIEWS IN {schema}")
 
 
+def _without_scheme(path: str) -> str:
+    return re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/").replace("//", "/")
+
+
 # --- file system, through the session's own Hadoop client -----------------------------------
 
 

@@ -21,6 +21,10 @@ class MissingFilesError(FileNotFoundError):
     """Expected sources that are not in the landing area."""
 
 
+class IntegrityError(ValueError):
+    """Landed bytes that differ from the known total."""
+
+
 def requested_grid(spark: SparkSession, partitions: Sequence[tuple[str, str]]) -> DataFrame:
     """The requested (scope, month) pairs, given as parameters, as a table."""
     return spark.createDataFrame(list(partitions), "scope string, month string")
@@ -144,6 +148,13 @@ def landing_intact(checked: DataFrame) -> bool:
     return bool(row["all_intact"])
 
 
+def require_intact(checked: DataFrame) -> None:
+    """Raise when a scope of ``integrity`` is not whole. At most one row per scope is read."""
+    broken = [row.asDict() for row in checked.filter(~F.col("intact")).collect()]
+    if broken:
+        raise IntegrityError("; ".join(map(str, broken)))
+
+
 def outcome_summary(decided: DataFrame, local: str) -> DataFrame:
     """Files and bytes by decision."""
     return decided.groupBy("status").agg(

@@ -172,6 +172,7 @@ class Dataset:
     clean: OutputSpec
     rejected: OutputSpec
     metrics: MetricSpec
+    months: tuple[str, ...] = ()
     expected_bytes: Mapping[str, int] = field(default_factory=dict)
 
     def source(self, name: str) -> SourceSpec:

@@ -48,7 +48,8 @@ def _typed(raw: DataFrame, source, month: str) -> DataFrame:
 
 
 def conform_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = conform.drift_report(spark, fixtures.landed_sources(spark, sf_dir), fixtures.misdeclared())
+    sources = fixtures.landed_sources(spark, sf_dir)
+    report = conform.drift_report(spark, sources, fixtures.misdeclared())
     return report.select(
         F.col("scope").alias(taxi.FLEET),
         F.col("month").alias(taxi.FILE_MONTH),

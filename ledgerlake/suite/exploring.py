@@ -136,8 +136,8 @@ def _hypotheses() -> str:
     low, far = _CHECKED["lowest_amount"], _CHECKED["longest_distance"]
     day, nulls = _CHECKED["earliest_pickup"], _CHECKED["null_passengers"]
     return over_trips(
-        f"""SELECT 'A_null_passengers' AS "check", CAST(a AS VARCHAR) AS observed, '= {nulls}' AS expected,
-    a = {nulls} AS confirmed FROM seen
+        f"""SELECT 'A_null_passengers' AS "check", CAST(a AS VARCHAR) AS observed,
+    '= {nulls}' AS expected, a = {nulls} AS confirmed FROM seen
 UNION ALL SELECT 'B_pickups_outside', CAST(b AS VARCHAR), '> 0', b > 0 FROM seen
 UNION ALL SELECT 'B_earliest_pickup', CAST(b2 AS VARCHAR), 'on {day}',
     CAST(b2 AS DATE) = DATE '{day}' FROM seen

@@ -69,7 +69,13 @@ HOUR_MONTH = "1997-05"
 LAYOUT = Layout(file=taxi.LAYOUT.file, path="{root}/fleet={scope}/month={month}")
 CAPITAL_FEE_SINCE = "1997-01"
 
-DATASET = taxi.dataset(window=WINDOW, layout=LAYOUT, capital_fee_since=CAPITAL_FEE_SINCE)
+DATASET = taxi.dataset(
+    window=WINDOW,
+    layout=LAYOUT,
+    capital_fee_since=CAPITAL_FEE_SINCE,
+    months=(),
+    expected_bytes={},
+)
 EVENT_RULES = taxi.quality_rules(EVENT_WINDOW)
 
 

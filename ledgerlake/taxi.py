@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import functions as F
 
@@ -174,8 +174,10 @@ def dataset(
     window: Sequence[str] = WINDOW,
     layout: Layout = LAYOUT,
     capital_fee_since: str = "2023-02",
-    expected_bytes: dict[str, int] | None = None,
+    months: Sequence[str] = MONTHS,
+    expected_bytes: Mapping[str, int] = EXPECTED_BYTES,
 ) -> Dataset:
+    """The case for a pickup window; ``expected_bytes`` are the totals over all ``months``."""
     return Dataset(
         table=TABLE,
         sources=sources(capital_fee_since),
@@ -185,7 +187,8 @@ def dataset(
         clean=CLEAN,
         rejected=REJECTED,
         metrics=METRICS,
-        expected_bytes=EXPECTED_BYTES if expected_bytes is None else expected_bytes,
+        months=tuple(months),
+        expected_bytes=expected_bytes,
     )
 
 

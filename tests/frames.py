@@ -49,12 +49,11 @@ def land(spark, root: str, dataset, data) -> list[tuple[str, str]]:
     partitions = sorted({(row[5], row[6]) for row in data})
     for fleet, month in partitions:
         spelling = dataset.source(fleet).spelling(month, dataset.table)
-        raw = df.filter((df.taxi_type == fleet) & (df.source_year_month == month)).select(
-            *(
-                (F.col(name) if name in df.columns else F.lit(None).cast(dataset.table.columns[name]))
-                .alias(spelled)
-                for name, spelled in spelling.items()
-            )
+        absent = {c: t for c, t in dataset.table.columns.items() if c not in df.columns}
+        raw = (
+            df.filter((df.taxi_type == fleet) & (df.source_year_month == month))
+            .withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
+            .select(*(F.col(name).alias(spelled) for name, spelled in spelling.items()))
         )
         path = dataset.layout.source_path(root, fleet, month)
         raw.coalesce(1).write.mode("overwrite").parquet(path)

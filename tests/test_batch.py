@@ -1,6 +1,7 @@
 """The whole run on landed files: tables, repeatability, selective runs, failures."""
 
 import uuid
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -12,7 +13,8 @@ from ledgerlake.plans import batch, views
 from ledgerlake.sources import landing
 from tests.frames import R1, SEVEN, land, rows
 
-DATASET = taxi.dataset()
+# Hand-made files do not have the published sizes.
+DATASET = taxi.dataset(expected_bytes={})
 MONTH = "2023-05"
 
 
@@ -101,6 +103,24 @@ def test_missing_source_stops_before_any_write(spark, warehouse, tmp_path):
     assert not (tmp_path / "warehouse").exists()
 
 
+def test_wrong_bytes_of_a_whole_scope_stop_before_any_write(spark, warehouse, tmp_path):
+    root = str(tmp_path / "landing")
+    partitions = land(spark, root, DATASET, SEVEN)
+    months = tuple(m for f, m in partitions if f == "yellow")
+    sizes = landing.source_sizes(landing.listing(spark, root), DATASET.layout)
+    known = {r.scope: r.local_bytes for r in sizes.groupBy("scope").agg(
+        F.sum("local_bytes").alias("local_bytes")).collect()}
+    whole = replace(DATASET, months=months, expected_bytes=known)
+    batch.check_landing(spark, whole, root, partitions)
+    wrong = replace(whole, expected_bytes={**known, "yellow": known["yellow"] + 1})
+    with pytest.raises(landing.IntegrityError, match="yellow"):
+        batch.run(spark, wrong, root, warehouse, partitions, MONTH)
+    assert not (tmp_path / "warehouse").exists()
+    # Green has only one of the months, so its total cannot be judged.
+    other = replace(whole, expected_bytes={"green": 1})
+    batch.check_landing(spark, other, root, partitions)
+
+
 def test_drift_stops_before_any_write(spark, warehouse, tmp_path):
     root = str(tmp_path / "landing")
     partitions = land(spark, root, DATASET, SEVEN)

@@ -36,7 +36,8 @@ def test_manifest(spark):
 
 
 def test_month_grid_spans_years(spark):
-    bounds = spark.createDataFrame([("a", "2022-11", "2023-02")], "scope string, f string, l string")
+    ddl = "scope string, f string, l string"
+    bounds = spark.createDataFrame([("a", "2022-11", "2023-02")], ddl)
     found = [r.month for r in landing.month_grid(bounds, "f", "l").collect()]
     assert found == ["2022-11", "2022-12", "2023-01", "2023-02"]
 

@@ -114,6 +114,10 @@ def test_table_and_view(spark, path, tmp_path):
         spark, "sink_test.t", path, "id long, fleet string, month string", KEYS
     )
     assert spark.table("sink_test.t").count() == 12
+    with pytest.raises(ValueError, match="already lies in"):
+        sinks.register_table(
+            spark, "sink_test.t", f"{path}x", "id long, fleet string, month string", KEYS
+        )
     query = "SELECT fleet, count(*) AS n FROM sink_test.t GROUP BY fleet"
     sinks.publish_view(spark, "sink_test.v", query, {"fleet": "which", "n": "how many"})
     assert rows(spark.table("sink_test.v")) == [("a", 6), ("b", 3), ("c", 3)]
