@@ -129,10 +129,12 @@ def parity_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly means against the means per file month of all yellow rows, rules or not."""
+    """Monthly means against those of all yellow rows with a pickup, whatever the rules say."""
+    known = (F.col(taxi.FLEET) == "yellow") & F.col(taxi.PICKUP).isNotNull()
+    rows = fixtures.trips(spark, sf_dir).filter(known)
     unfiltered = answers.group_average(
-        fixtures.trips(spark, sf_dir).filter(F.col(taxi.FLEET) == "yellow"),
-        taxi.FILE_MONTH,
+        rows.withColumn(taxi.PICKUP_MONTH, F.expr(month_sql(taxi.PICKUP))),
+        taxi.PICKUP_MONTH,
         "total_amount",
         2,
         "benchmark",
@@ -140,7 +142,7 @@ def benchmark_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return compare.deviation(
         _month_view(spark, sf_dir),
-        unfiltered.withColumnRenamed(taxi.FILE_MONTH, taxi.PICKUP_MONTH),
+        unfiltered,
         taxi.PICKUP_MONTH,
         taxi.MONTH_MEAN,
         "benchmark",
@@ -268,9 +270,9 @@ ORACLES = {
     round(media_total_amount - benchmark, 2) AS desvio,
     coalesce(abs(round(media_total_amount - benchmark, 2)) <= {_TOLERANCE}, false) AS ok
   FROM ({_BY_MONTH}) FULL JOIN benchmark USING (pickup_year_month)""",
-        f"""benchmark AS (SELECT source_year_month AS pickup_year_month,
-    round(avg(total_amount), 2) AS benchmark FROM trips WHERE taxi_type = 'yellow'
-    GROUP BY source_year_month)""",
+        f"""benchmark AS (SELECT strftime(tpep_pickup_datetime, '%Y-%m') AS pickup_year_month,
+    round(avg(total_amount), 2) AS benchmark FROM trips
+    WHERE taxi_type = 'yellow' AND tpep_pickup_datetime IS NOT NULL GROUP BY ALL)""",
     ),
     "ablation_month": _ablated(),
     "month_growth": over_trips(

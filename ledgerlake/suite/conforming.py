@@ -18,7 +18,7 @@ from ledgerlake.suite.sqltext import trips as over_trips
 _DATASET = fixtures.DATASET
 _TABLE = _DATASET.table
 _REPROCESSED_SINCE = "1998-01"
-_EMPTIED = "1998-06"
+_EMPTIED = "1998-07"
 
 
 def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``TRIPS`` reads ``lineitem`` alone: no join, so what is measured and scaled is the operator under
 test. ``EVENT_TRIPS`` reads ``events``. Missing, negative and out-of-window values come from the
-formulas. Landing folders and stored tables are written from these once per session.
+formulas. A file holds half a year and carries its first month, so file month and pickup month
+differ. Landing folders and stored tables are written from these once per session.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ SELECT CAST(l_suppkey % 2 + 1 AS INT) AS VendorID,
  CASE WHEN l_returnflag = 'A' THEN l_discount ELSE NULL END AS ehail_fee,
  CASE WHEN l_returnflag = 'A' THEN CAST(l_linenumber % 2 + 1 AS INT) ELSE NULL END AS trip_type,
  CASE WHEN l_returnflag = 'A' THEN 'green' ELSE 'yellow' END AS taxi_type,
- SUBSTRING(CAST(l_shipdate AS STRING), 1, 7) AS source_year_month
+ SUBSTRING(CAST(l_shipdate AS STRING), 1, 4)
+  || CASE WHEN SUBSTRING(CAST(l_shipdate AS STRING), 6, 2) < '07' THEN '-01' ELSE '-07' END
+  AS source_year_month
 FROM {lineitem}"""
 
 EVENT_TRIPS = """

@@ -10,6 +10,7 @@ from ledgerlake.sources import landing
 from ledgerlake.suite import fixtures
 from ledgerlake.suite.sqltext import trips as over_trips
 
+_ABSENT, _UNKNOWN, _CHANGED = "1997-07", "1998-01", "1996-07"
 _NAMES = {"scope": taxi.FLEET, "month": taxi.FILE_MONTH}
 
 
@@ -60,9 +61,9 @@ def _sized_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "scope",
             "month",
-            F.when(~F.col("month").endswith("-06"), F.col("bytes")).alias("local_bytes"),
-            F.when(F.col("month").endswith("-09"), None)
-            .when(F.col("month").endswith("-03"), F.col("bytes") + 1)
+            F.when(F.col("month") != _ABSENT, F.col("bytes")).alias("local_bytes"),
+            F.when(F.col("month") == _UNKNOWN, None)
+            .when(F.col("month") == _CHANGED, F.col("bytes") + 1)
             .otherwise(F.col("bytes"))
             .alias("expected_bytes"),
         )
@@ -84,10 +85,10 @@ def landing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landing_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yellow is whole; green lacks its June files; no total is known for vendor 1."""
+    """Yellow is whole; green lacks a file; no total is known for vendor 1."""
     rows = fixtures.trips(spark, sf_dir)
     size = F.sum(F.col("PULocationID").cast("long"))
-    absent = (F.col("scope") == "green") & F.col("month").endswith("-06")
+    absent = (F.col("scope") == "green") & (F.col("month") == _ABSENT)
     files = (
         rows.groupBy(F.col(taxi.FLEET).alias("scope"), F.col(taxi.FILE_MONTH).alias("month"))
         .agg(size.alias("bytes"))
@@ -106,9 +107,9 @@ _GRID = """grid AS (SELECT taxi_type, strftime(unnest(generate_series(
     CAST(max(source_year_month) || '-01' AS TIMESTAMP) + {ahead} * INTERVAL '1' MONTH,
     INTERVAL '1' MONTH)), '%Y-%m') AS source_year_month FROM trips GROUP BY taxi_type)"""
 _FILE = "taxi_type || '_tripdata_' || source_year_month || '.parquet'"
-_LISTING = """listing AS (SELECT taxi_type, source_year_month,
-    CASE WHEN source_year_month NOT LIKE '%-06' THEN bytes END AS local_bytes,
-    CASE WHEN source_year_month LIKE '%-09' THEN NULL WHEN source_year_month LIKE '%-03'
+_LISTING = f"""listing AS (SELECT taxi_type, source_year_month,
+    CASE WHEN source_year_month <> '{_ABSENT}' THEN bytes END AS local_bytes,
+    CASE WHEN source_year_month = '{_UNKNOWN}' THEN NULL WHEN source_year_month = '{_CHANGED}'
       THEN bytes + 1 ELSE bytes END AS expected_bytes
   FROM (SELECT taxi_type, source_year_month, CAST(sum(PULocationID) AS BIGINT) AS bytes
         FROM trips GROUP BY ALL)),
@@ -154,8 +155,8 @@ ORACLES = {
         """SELECT taxi_type, files, missing_files, local_bytes, expected_bytes,
     coalesce(missing_files = 0 AND local_bytes = expected_bytes, false) AS intact
   FROM found LEFT JOIN totals USING (taxi_type)""",
-        """sizes AS (SELECT taxi_type, source_year_month, CASE WHEN taxi_type = 'green'
-      AND source_year_month LIKE '%-06' THEN NULL ELSE sum(PULocationID) END AS local_bytes
+        f"""sizes AS (SELECT taxi_type, source_year_month, CASE WHEN taxi_type = 'green'
+      AND source_year_month = '{_ABSENT}' THEN NULL ELSE sum(PULocationID) END AS local_bytes
     FROM trips GROUP BY taxi_type, source_year_month
     UNION ALL SELECT 'vendor_1', source_year_month, sum(PULocationID) FROM trips
     WHERE VendorID = 1 GROUP BY source_year_month),
