@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import secrets, sharding, topk
+from ledgerlake.llm import ngram_join, secrets, sharding, topk
 from ledgerlake.llm.tables import table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their shingles of four words."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds of every document."""
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
@@ -33,6 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_secrets": op4_secrets,
     "op7_topk": op7_topk,
     "op10_sharding": op10_sharding,
