@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ngram_join, secrets, sharding, topk
+from ledgerlake.llm import ngram_join, quality, secrets, sharding, topk
 from ledgerlake.llm.tables import table
 
 
@@ -14,6 +14,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds of every document."""
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
@@ -39,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op7_topk": op7_topk,
     "op10_sharding": op10_sharding,
