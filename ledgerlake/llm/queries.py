@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ngram_join, quality, secrets, sharding, topk
+from ledgerlake.llm import ngram_join, quality, secrets, sharding, topk, toxicity
 from ledgerlake.llm.tables import table
 
 
@@ -29,6 +29,11 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its significant passages."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal row counts, each with the mixture of sources."""
     return sharding.interleave(table(spark, sf_dir, "documents")).select(
@@ -47,6 +52,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op7_topk": op7_topk,
+    "op8_toxicity": op8_toxicity,
     "op10_sharding": op10_sharding,
 }
 
