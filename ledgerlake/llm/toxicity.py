@@ -9,12 +9,14 @@ error and by an offset, which makes chance segments negative on average.
 One linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text. Chance maxima of
 such sums follow an extreme-value law; its two parameters are fitted on clean rows of the sample. A
 segment of score s in a text of n tokens is expected K * n * exp(-lambda * s) times by chance, and
-significant if that is EVALUE at most. A text is judged by the chance of its best segment, through a
-logistic curve over the logarithm.
+significant if that is EVALUE at most. A text is judged by the chance of its best
+segments together, through a rising curve over the logarithm that is fitted on a part of the sample kept aside.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ LEAST = 6.0
 CAUTION = 1.5
 OFFSET = 1.0
 EVALUE = 0.01
+#: Segments of a text that its judgement looks at.
+TOP = 8
 THRESHOLD = 0.7
 
 _U = np.uint64
@@ -158,27 +162,33 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _found(df: DataFrame, odds: Odds) -> DataFrame:
-    """doc_id, n (tokens), best, segments of every document."""
+    """doc_id, n (tokens), the best scores, all segments of every document."""
 
     def find(batches):
         for batch in batches:
-            n, best, held = [], [], []
+            n, top, held = [], [], []
             for block in blocks(batch["text"]):
                 scores = odds.scores(_tokens(block))
                 for a, b in zip(block.word_ptr[:-1].tolist(), block.word_ptr[1:].tolist(), strict=True):
                     found = segments(scores[a:b]) if (scores[a:b] > 0).any() else []
                     n.append(b - a)
-                    best.append(max((s for _, _, s in found), default=0.0))
+                    best = sorted((s for _, _, s in found), reverse=True)[:TOP]
+                    top.append(best + [0.0] * (TOP - len(best)))
                     held.append([{"start": i, "end": j, "score": s} for i, j, s in found])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(held, kind)],
-                names=["doc_id", "n", "best", "segments"],
+                [
+                    batch["doc_id"],
+                    pa.array(n, pa.int64()),
+                    pa.array(top, pa.list_(pa.float64())),
+                    pa.array(held, kind),
+                ],
+                names=["doc_id", "n", "top", "segments"],
             )
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         find,
-        "doc_id long, n long, best double, segments array<struct<start:int,end:int,score:double>>",
+        "doc_id long, n long, top array<double>, segments array<struct<start:int,end:int,score:double>>",
     )
 
 
@@ -192,22 +202,38 @@ def chance_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(1 / np.mean(best[some])), float(some.sum() / n.sum())
 
 
-def unlikely(best: np.ndarray, n: np.ndarray, lam: float, k: float) -> np.ndarray:
-    """-ln of the chance that a clean text of n tokens has a segment as good as that; 0 without one."""
-    expected = np.maximum(k * n * np.exp(-lam * best), 1e-300)
-    return np.where(best > 0, -np.log(-np.expm1(-expected)), 0.0)
-
+def unlikely(top: np.ndarray, n: np.ndarray, lam: float, k: float) -> np.ndarray:
+    """-ln of the chance that a clean text of n tokens has segments as good as the r best, for the r
+    that makes it least likely (sum statistics of segment scores); 0 without any segment.
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton steps with a little weight decay."""
-    at = np.array([0.5, 0.0])
-    design = np.stack([x, np.ones(len(x))], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ at, -40, 40)))
-        grad = design.T @ (p - y) + 1e-3 * at
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        at = at - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return float(at[0]), float(at[1])
+    `top` has the best scores of each text, falling, 0 where there are no more.
+    """
+    each = np.where(top > 0, lam * top - np.log(k * np.maximum(n, 1))[:, None], 0.0)
+    best, sums = np.zeros(len(top)), np.zeros(len(top))
+    for r in range(1, top.shape[1] + 1):
+        sums = sums + each[:, r - 1]
+        some = np.maximum(sums, 1e-9)
+        ln_chance = -some + (r - 1) * np.log(some) - math.lgamma(r + 1) - math.lgamma(r)
+        # for one segment the exact law, for more its tail, where it holds
+        if r == 1:
+            ln_chance = np.log(-np.expm1(-np.exp(np.minimum(-sums, 50))) + 1e-300)
+        ok = (top[:, r - 1] > 0) & ((r == 1) | (sums > r))
+        best = np.where(ok, np.maximum(best, -ln_chance - np.log(r)), best)
+    return best
+
+
+def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (x, share of y) of the non-decreasing curve nearest to the data (pooled neighbours)."""
+    at, group = np.unique(x, return_inverse=True)
+    size = np.bincount(group).astype(np.float64)
+    pools: list[list[float]] = []
+    for a, n, ones in zip(at, size, np.bincount(group, y), strict=True):
+        pools.append([a * n, n, ones])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last, strict=True)]
+    sums = np.array(pools)
+    return sums[:, 0] / sums[:, 1], (sums[:, 2] + y.mean()) / (sums[:, 1] + 1)
 
 
 def score(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -244,26 +270,40 @@ def score(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
             yield batch.filter(pa.array(at >= 0))
 
     known = (
-        found.select("doc_id", "n", "best")
+        found.select("doc_id", "n", "top")
         .where(F.col("doc_id").isNotNull())
-        .mapInArrow(labelled, "doc_id long, n long, best double")
+        .mapInArrow(labelled, "doc_id long, n long, top array<double>")
         .dropDuplicates(["doc_id"])
         .orderBy("doc_id")
         .toPandas()
     )
     of = y[look_up(ids, known["doc_id"].to_numpy(np.int64))]
-    n, best = known["n"].to_numpy(np.float64), known["best"].to_numpy(np.float64)
-    lam, k = chance_law(best[of == 0], n[of == 0])
-    slope, intercept = logistic(unlikely(best, n, lam, k), of)
-    expected = lambda s: F.greatest(F.lit(1e-300), F.exp(-lam * s) * F.col("n") * k)
-    rare = F.when(F.col("best") > 0, -F.log(-F.expm1(-expected(F.col("best"))))).otherwise(0.0)
-    judged = 1 / (1 + F.exp(-(rare * slope + intercept)))
-    significant = F.filter("segments", lambda s: expected(s["score"]) <= EVALUE)
-    return found.select(
+    n = known["n"].to_numpy(np.float64)
+    top = np.array(known["top"].to_list(), np.float64).reshape(-1, TOP)
+    lam, k = chance_law(top[of == 0, 0], n[of == 0])
+    knots, shares = rising(unlikely(top, n, lam, k), of.astype(np.float64))
+
+    def judge(batches):
+        for batch in batches:
+            best = batch["top"].flatten().to_numpy().reshape(-1, TOP)
+            x = unlikely(best, batch["n"].to_numpy(), lam, k)
+            # a little of the logarithm itself tells rows of one share apart
+            judged = 0.999 * np.interp(x, knots, shares) + 0.001 * x / (1 + x)
+            expected = np.maximum(batch["n"].to_numpy(), 1) * k / EVALUE
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(judged), pa.array(np.log(expected) / lam), batch["segments"]],
+                names=["doc_id", "score", "bar", "segments"],
+            )
+
+    kind = found.schema["segments"].dataType.simpleString()
+    significant = F.filter("segments", lambda s: s["score"] >= F.col("bar"))
+    return found.mapInArrow(
+        judge, f"doc_id long, score double, bar double, segments {kind}"
+    ).select(
         "doc_id",
         held_out,
-        judged.alias("score"),
-        (judged >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         F.size(significant).alias("n_passages"),
         significant.alias("passages"),
     )
