@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ngram_join, quality, secrets, sharding, topk, toxicity
+from ledgerlake.llm import language, ngram_join, quality, secrets, sharding, topk, toxicity
 from ledgerlake.llm.tables import table
 
 
@@ -24,6 +24,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every twentieth vector."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"))
@@ -51,6 +56,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
     "op10_sharding": op10_sharding,
