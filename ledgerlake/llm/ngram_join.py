@@ -98,8 +98,33 @@ def prefix_length(n: int, share: int) -> int:
     return n - (share * n + 99) // 100 + 1
 
 
+def _checksums(df: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, k1, k2 of every text: the size of its set and two checksums of it."""
+
+    def sums(batches):
+        for batch in batches:
+            n, k1, k2 = [], [], []
+            for tokens in _sets(batch["text"], words):
+                n.append(len(tokens))
+                k1.append(tokens.sum(dtype=_U))
+                k2.append(mix(tokens).sum(dtype=_U))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"],
+                    pa.array(n, pa.int64()),
+                    pa.array(np.array(k1, _U).view(np.int64)),
+                    pa.array(np.array(k2, _U).view(np.int64)),
+                ],
+                names=["doc_id", "n", "k1", "k2"],
+            )
+
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        sums, "doc_id long, n long, k1 long, k2 long"
+    )
+
+
 def _profiles(df: DataFrame, words: int, share: int) -> DataFrame:
-    """doc_id, n, checksums k1 and k2 of the set, its prefix in order, its bitmap."""
+    """doc_id, the prefix of its set in order, and its bitmap, for texts with a shingle."""
     frequent, level = _frequent(df, words)
 
     def ordered(tokens: np.ndarray) -> np.ndarray:
@@ -114,44 +139,52 @@ def _profiles(df: DataFrame, words: int, share: int) -> DataFrame:
 
     def profile(batches):
         for batch in batches:
-            n, k1, k2, prefixes, bitmaps = [], [], [], [], []
+            prefixes, bitmaps, some = [np.zeros(0, np.int64)], [], []
             for tokens in _sets(batch["text"], words):
-                n.append(len(tokens))
-                k1.append(tokens.sum(dtype=_U))
-                k2.append(mix(tokens).sum(dtype=_U))
+                some.append(len(tokens) > 0)
                 if len(tokens):
                     prefixes.append(ordered(tokens).view(np.int64))
                     wide = 1 << max(0, (len(tokens) * BITS - 1).bit_length() - 6)
                     bitmaps.append(bitmap(tokens, wide).tobytes())
-                else:
-                    prefixes.append(np.zeros(0, np.int64))
-                    bitmaps.append(b"")
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            ends = np.cumsum([len(x) for x in prefixes]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"],
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(k1, _U).view(np.int64)),
-                    pa.array(np.array(k2, _U).view(np.int64)),
-                    pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *prefixes])),
+                    batch["doc_id"].filter(pa.array(some, pa.bool_())),
+                    pa.ListArray.from_arrays(ends, np.concatenate(prefixes)),
                     pa.array(bitmaps, pa.binary()),
                 ],
-                names=["doc_id", "n", "k1", "k2", "prefix", "bits"],
+                names=["doc_id", "prefix", "bits"],
             )
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        profile, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary"
+    return (
+        df.select(F.col("doc_id").cast("long"), "text")
+        .where(F.col("doc_id").isNotNull())
+        .mapInArrow(profile, "doc_id long, prefix array<long>, bits binary")
     )
 
 
-def _meeting(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """The entries of groups in which different components meet, with the size of the group."""
+def _meeting(entries: DataFrame, keys: list[str], alike: bool) -> DataFrame:
+    """The entries of groups in which different components meet, with the size of the group.
+
+    With `alike`, of groups with the very same members (by count and checksums) only one is kept.
+    """
     groups = (
         entries.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("in_group"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .agg(
+            F.count(F.lit(1)).alias("in_group"),
+            F.min("comp").alias("lo"),
+            F.max("comp").alias("hi"),
+            *(F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"sum{k}") for k in (0, 1) if alike),
+        )
         .where(F.col("lo") < F.col("hi"))
         .drop("lo", "hi")
     )
+    if alike:
+        groups = (
+            groups.groupBy("sum0", "sum1", "in_group")
+            .agg(F.min(F.struct(*keys)).alias("one"))
+            .select("one.*", "in_group")
+        )
     return entries.join(groups, keys)
 
 
@@ -159,15 +192,16 @@ def _groups(entries: DataFrame, share: int) -> DataFrame:
     """Entries (token, rep, n, comp) that meet at a token and have sizes within reach.
 
     Sizes fall into bands; partners are in the same band or in neighbouring ones, so every set is
-    also a guest in the band above its own.
+    also a guest in the band above its own. Texts that are alike meet at many tokens; where a group
+    has the same members at several of them, one is enough.
     """
     # bands a little wider than partners can be apart, so that rounding is harmless
     width = 1.001 * float(np.log(100 / min(share, 99)))
-    own = F.floor(F.log(F.col("n").cast("double")) / width)
-    banded = _meeting(entries, ["token"]).drop("in_group").withColumn(
+    own = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    banded = _meeting(entries, ["token"], alike=False).drop("in_group").withColumn(
         "band", F.explode(F.array(own, own + 1))
     )
-    return _meeting(banded, ["token", "band"])
+    return _meeting(banded, ["token", "band"], alike=True)
 
 
 def _walk(share: int, forest: bool):
@@ -295,8 +329,7 @@ def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFra
         .withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
         .mapInArrow(tokens, "id long, tokens binary")
         .join(ids.distinct(), "id", "left_semi")
-        .groupBy("id")
-        .agg(F.first("tokens").alias("tokens"))
+        .dropDuplicates(["id"])
     )
 
     def compare(batches):
@@ -325,15 +358,16 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
     expected to repeat its text. A NULL doc_id gives a row with the component of its equals, or
     NULL. An empty table gives an empty result; other columns are ignored.
     """
-    profiles = cut(_profiles(df, words, share))
+    rows = cut(_checksums(df, words))
     classes = ["k1", "k2", "n"]
-    filled = profiles.where(F.col("n") > 0)
-    held = F.struct("prefix", "bits")
-    sets = cut(
-        filled.where(F.col("doc_id").isNotNull())
+    named = (
+        rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .groupBy(*classes)
-        .agg(F.min("doc_id").alias("rep"), F.min_by(held, "doc_id").alias("held"))
-        .select(*classes, "rep", "held.prefix", "held.bits")
+        .agg(F.min("doc_id").alias("rep"))
+    )
+    profiles = _profiles(df, words, share).withColumnRenamed("doc_id", "rep")
+    sets = cut(
+        named.join(profiles, "rep").dropDuplicates(["rep"]).select(*classes, "rep", "prefix", "bits")
     )
 
     def entries(tokens: Column, comp: DataFrame) -> DataFrame:
@@ -355,7 +389,6 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
         .join(final, "rep", "left")
         .select(*classes, F.coalesce("component", "rep").alias("component_id"))
     )
-    rows = profiles.select("doc_id", *classes)
     return (
         rows.where(F.col("n") > 0)
         .join(named, classes, "left")

@@ -24,9 +24,10 @@ def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
+    """One bit per token: its low 6 bits choose the bit, the next ones the word, so folding fits."""
     out = np.zeros(words, np.uint64)
-    bit = tokens & np.uint64(words * 64 - 1)
-    np.bitwise_or.at(out, (bit & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (bit // np.uint64(words)))
+    word = ((tokens >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+    np.bitwise_or.at(out, word, np.uint64(1) << (tokens & np.uint64(63)))
     return out
 
 
