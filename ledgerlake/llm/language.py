@@ -28,15 +28,25 @@ UNSEEN = 0.5
 #: A softmax over sums of thousands of words is 0 or 1; this many words of evidence count.
 EVIDENCE = 20
 
+#: Bytes looked at together; more repeat more words.
+BLOCK = 1 << 21
+
 _U = np.uint64
 _EDGE = np.zeros(256, bool)
 _EDGE[[b for b in range(128) if not chr(b).isalpha()]] = True
 
 
 class Vocabulary:
-    """The distinct words of a block, without marks at their ends, and where they stand."""
+    """Words without marks at their ends: hashes of the distinct ones, and where these stand."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Block, start: np.ndarray, end: np.ndarray):
+        hashes = block.hashes(start, end)
+        self.words, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.block, self.start, self.end = block, start[first], end[first]
+
+    @classmethod
+    def of_texts(cls, block: Block) -> Vocabulary:
+        """Those of a block of texts; `row` has the text of each occurrence."""
         block.find_words()
         data, start, end = block.data, block.start.copy(), block.end.copy()
         for _ in range(4 if len(start) else 0):
@@ -46,10 +56,9 @@ class Vocabulary:
         # what has no letter at all says nothing
         letters = np.concatenate([[0], np.cumsum(~_EDGE[data])])
         some = letters[end] > letters[start] if len(start) else np.zeros(0, bool)
-        start, end, self.row = start[some], end[some], row[some]
-        hashes = block.hashes(start, end)
-        self.words, first, self.number = np.unique(hashes, return_index=True, return_inverse=True)
-        self.block, self.start, self.end = block, start[first], end[first]
+        out = cls(block, start[some], end[some])
+        out.row = row[some]
+        return out
 
     def grams(self, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams of characters of the chosen words, and the word of each.
@@ -71,25 +80,60 @@ class Vocabulary:
         return mix(hashes + (bounds * 8 + n).astype(_U)), word
 
 
-def _learned(df: DataFrame) -> DataFrame:
-    """lang, n (0 for words), key, seen: counts over all learning rows."""
+def _word_counts(df: DataFrame) -> DataFrame:
+    """lang, word, seen: counts over all learning rows."""
 
     def count(batches):
         for batch in batches:
             langs = np.array(batch["lang"].to_pylist(), object)
-            for block in blocks(batch["text"]):
+            for block in blocks(batch["text"], BLOCK):
                 of_row = langs[block.first : block.first + block.rows]
-                held = Vocabulary(block)
+                held = Vocabulary.of_texts(block)
+                texts = block.texts(held.start, held.end)
                 for lang in dict.fromkeys(of_row):
                     seen = np.bincount(
                         held.number[of_row[held.row] == lang], minlength=len(held.words)
                     )
                     which = np.flatnonzero(seen)
-                    yield counted(lang, 0, held.words[which], seen[which])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * len(which), pa.string()),
+                            texts.take(pa.array(which)),
+                            pa.array(seen[which], pa.int64()),
+                        ],
+                        names=["lang", "word", "seen"],
+                    )
+
+    return (
+        df.select("text", "lang")
+        .mapInArrow(count, "lang string, word string, seen long")
+        .groupBy("lang", "word")
+        .agg(F.sum("seen").alias("seen"))
+    )
+
+
+def _learned(df: DataFrame) -> DataFrame:
+    """lang, n (0 for words), key, seen: counts over all learning rows.
+
+    N-grams are taken from the distinct words, with the words' counts. A word seen once in a
+    language is not a known one.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            langs = np.array(batch["lang"].to_pylist(), object)
+            counts = batch["seen"].to_numpy()
+            for block in blocks(batch["word"], BLOCK):
+                here = slice(block.first, block.first + block.rows)
+                for lang in dict.fromkeys(langs[here]):
+                    rows = np.flatnonzero(langs[here] == lang)
+                    held = Vocabulary(block, block.offsets[rows], block.offsets[rows + 1])
+                    seen = np.bincount(held.number, counts[here][rows]).astype(np.int64)
+                    yield counted(lang, 0, held.words, seen)
                     for n in range(1, LONGEST + 1):
-                        grams, word = held.grams(n, which)
+                        grams, word = held.grams(n, np.arange(len(seen)))
                         keys, number = np.unique(grams, return_inverse=True)
-                        sums = np.bincount(number, seen[which][word], minlength=len(keys))
+                        sums = np.bincount(number, seen[word], minlength=len(keys))
                         yield counted(lang, n, keys, sums.astype(np.int64))
 
     def counted(lang, n, keys, seen):
@@ -104,10 +148,11 @@ def _learned(df: DataFrame) -> DataFrame:
         )
 
     return (
-        df.select("text", "lang")
-        .mapInArrow(count, "lang string, n int, key long, seen long")
+        _word_counts(df)
+        .mapInArrow(spread, "lang string, n int, key long, seen long")
         .groupBy("lang", "n", "key")
         .agg(F.sum("seen").alias("seen"))
+        .where((F.col("n") > 0) | (F.col("seen") > 1))
     )
 
 
@@ -181,8 +226,8 @@ class Model:
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of its language and the probability of it."""
         best, share = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for block in blocks(texts):
-            held = Vocabulary(block)
+        for block in blocks(texts, BLOCK):
+            held = Vocabulary.of_texts(block)
             scores = self.word_scores(held)
             sums = np.stack(
                 [

@@ -78,6 +78,15 @@ class Block:
         np.cumsum(_OF_BYTE[data] * up[: len(data)], out=sums[1:])
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(_ODD))
 
+    def texts(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The byte ranges as lower-case strings; they must hold whole characters."""
+        size = end - start
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)
+        data = pa.py_buffer(_LOWER[self.data[at]].tobytes())
+        offsets = pa.py_buffer(ends.astype(np.int32).tobytes())
+        return pa.StringArray.from_buffers(len(size), offsets, data)
+
     def word_hashes(self, lower: bool = True) -> np.ndarray:
         self.find_words()
         return self.hashes(self.start, self.end, lower)
