@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import language, ngram_join, quality, secrets, sharding, topk, toxicity
+from ledgerlake.llm import language, ngram_join, pieces, quality, secrets, sharding, topk, toxicity
 from ledgerlake.llm.tables import table
 
 
@@ -39,6 +39,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, decoded again for comparison."""
+    return pieces.encode_ids(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal row counts, each with the mixture of sources."""
     return sharding.interleave(table(spark, sf_dir, "documents")).select(
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
 }
 
