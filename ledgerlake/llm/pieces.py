@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ledgerlake.llm.words import Block, blocks
 
@@ -352,7 +353,7 @@ def encoded(df: DataFrame, model_file: str = MODEL) -> DataFrame:
                 if not batch.num_rows:
                     break
 
-    schema = df.select(*kept).schema.add("ids", "array<int>").add("n_pieces", "int").add(
+    schema = df.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("n_pieces", "int").add(
         "round_trip", "boolean"
     )
     return df.select(*kept).mapInArrow(encode, schema)

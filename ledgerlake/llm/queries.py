@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import language, ngram_join, pieces, quality, secrets, sharding, topk, toxicity
+from ledgerlake.llm import decontamination, language, ngram_join, pieces, quality, secrets, sharding, topk, toxicity
 from ledgerlake.llm.tables import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontamination.passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their shingles of four words."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -58,6 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
