@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from ledgerlake.llm.words import Block, blocks
 
@@ -353,8 +353,8 @@ def encoded(df: DataFrame, model_file: str = MODEL) -> DataFrame:
                 if not batch.num_rows:
                     break
 
-    schema = df.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("n_pieces", "int").add(
-        "round_trip", "boolean"
+    schema = df.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("n_pieces", IntegerType()).add(
+        "round_trip", BooleanType()
     )
     return df.select(*kept).mapInArrow(encode, schema)
 
@@ -370,7 +370,7 @@ def decoded(df: DataFrame, model_file: str = MODEL) -> DataFrame:
                 [*(batch[c] for c in kept), decode_batch(batch["ids"], stands)], names=[*kept, "text"]
             )
 
-    return df.select(*kept).mapInArrow(decode, df.select(*kept).schema.add("text", "string"))
+    return df.select(*kept).mapInArrow(decode, df.select(*kept).schema.add("text", StringType()))
 
 
 def encode_ids(df: DataFrame, model_file: str = MODEL) -> DataFrame:
