@@ -225,7 +225,8 @@ def scan(df: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redacted(df: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """The rows with every find replaced by the mark; overlapping finds give one mark.
 
-    Other columns stay as they are. NULL texts and texts without finds are unchanged.
+    A column n_chars is counted anew for texts that were searched, other columns stay as they are.
+    NULL texts and texts without finds are unchanged.
     """
     key = _key(F.col("text"))
     texts = cut(
@@ -265,8 +266,7 @@ def redacted(df: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataF
         _key(told["text"]) == F.col("_found_key"),
         "left",
     )
-    kept = [
-        F.coalesce("_cleaned", told["text"]).alias("text") if c == "text" else told[c]
-        for c in df.columns
-    ]
+    text = F.coalesce("_cleaned", told["text"])
+    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    kept = [new.get(c, told[c]) for c in df.columns]
     return df.where(key.isNull()).unionByName(changed.select(*kept))
