@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontamination, language, ngram_join, pieces, quality, secrets, sharding, topk, toxicity
+from ledgerlake.llm import decontamination, language, ngram_join, pages, pieces, quality, secrets, sharding, topk, toxicity
 from ledgerlake.llm.tables import table
 
 
@@ -36,6 +36,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every twentieth vector."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op6_pages": op6_pages,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
