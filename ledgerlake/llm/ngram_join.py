@@ -12,12 +12,12 @@ The order of shingles puts those of passages that very many texts share last, so
 makes no group of all its texts. They are found by counting within some thousand texts at a time;
 any order gives the same result, so a table of the most frequent ones will do.
 
-It is done in two rounds. The first takes the first few shingles of each set and keeps, per group, a
-forest of likely pairs; these are compared and give provisional components, which already hold
-nearly all copies together. The second takes all prefix shingles, and only groups in which
-different components still meet. Components are what is asked for, so pairs within one need no
-comparison, and a group of thousands of copies costs no more than its texts. No pair between
-different components is left out in the second round.
+It is done in rounds. The first ones take a few shingles of least hash of each set, which similar
+sets share with high chance, and keep, per group, a forest of likely pairs; these are compared and
+give provisional components, which already hold nearly all copies together. The last round takes all
+prefix shingles, and only groups in which different components still meet. Components are what is
+asked for, so pairs within one need no comparison, and a group of thousands of copies costs no more
+than its texts. No pair between different components is left out in the last round.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from ledgerlake.llm.words import blocks, mix, shingles
 
 WORDS = 4
 SHARE = 85
-#: Shingles of a set looked at in the first round.
-FIRST = 3
+#: Shingles of least hash looked at in each of the first rounds.
+FIRST = (3, 6)
 #: Sets per block of a large group.
 BLOCK = 1024
 #: A shingle is frequent if it occurs so often among FREQUENT_AMONG shingles of one task.
@@ -124,7 +124,7 @@ def _checksums(df: DataFrame, words: int) -> DataFrame:
 
 
 def _profiles(df: DataFrame, words: int, share: int) -> DataFrame:
-    """doc_id, the prefix of its set in order, and its bitmap, for texts with a shingle."""
+    """doc_id, the least hashes of its set, its prefix in order, its bitmap, for texts with a shingle."""
     frequent, level = _frequent(df, words)
 
     def ordered(tokens: np.ndarray) -> np.ndarray:
@@ -140,26 +140,29 @@ def _profiles(df: DataFrame, words: int, share: int) -> DataFrame:
     def profile(batches):
         for batch in batches:
             prefixes, bitmaps, some = [np.zeros(0, np.int64)], [], []
+            heads = [np.zeros(0, np.int64)]
             for tokens in _sets(batch["text"], words):
                 some.append(len(tokens) > 0)
                 if len(tokens):
+                    heads.append(tokens[: sum(FIRST)].view(np.int64))
                     prefixes.append(ordered(tokens).view(np.int64))
                     wide = 1 << max(0, (len(tokens) * BITS - 1).bit_length() - 6)
                     bitmaps.append(bitmap(tokens, wide).tobytes())
-            ends = np.cumsum([len(x) for x in prefixes]).astype(np.int32)
+            ends = lambda lists: np.cumsum([len(x) for x in lists]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].filter(pa.array(some, pa.bool_())),
-                    pa.ListArray.from_arrays(ends, np.concatenate(prefixes)),
+                    pa.ListArray.from_arrays(ends(heads), np.concatenate(heads)),
+                    pa.ListArray.from_arrays(ends(prefixes), np.concatenate(prefixes)),
                     pa.array(bitmaps, pa.binary()),
                 ],
-                names=["doc_id", "prefix", "bits"],
+                names=["doc_id", "heads", "prefix", "bits"],
             )
 
     return (
         df.select(F.col("doc_id").cast("long"), "text")
         .where(F.col("doc_id").isNotNull())
-        .mapInArrow(profile, "doc_id long, prefix array<long>, bits binary")
+        .mapInArrow(profile, "doc_id long, heads array<long>, prefix array<long>, bits binary")
     )
 
 
@@ -367,23 +370,24 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
     )
     profiles = _profiles(df, words, share).withColumnRenamed("doc_id", "rep")
     sets = cut(
-        named.join(profiles, "rep").dropDuplicates(["rep"]).select(*classes, "rep", "prefix", "bits")
+        named.join(profiles, "rep").dropDuplicates(["rep"]).select(*classes, "rep", "heads", "prefix", "bits")
     )
 
     def entries(tokens: Column, comp: DataFrame) -> DataFrame:
         return comp.select("rep", "n", "comp", F.explode(tokens).alias("token"))
 
-    alone = sets.withColumn("comp", F.col("rep"))
-    likely = _candidates(entries(F.slice("prefix", 1, FIRST), alone), sets, share, forest=True)
-    links = cut(_similar(likely, df, words, share))
-    first = cut(components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp")))
-    parts = sets.join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    parts, edges = sets.withColumn("comp", F.col("rep")), None
+    for k, size in enumerate(FIRST):
+        heads = entries(F.slice("heads", sum(FIRST[:k]) + 1, size), parts)
+        links = _similar(_candidates(heads, sets, share, forest=True), df, words, share)
+        edges = cut(components(links if edges is None else links.unionByName(edges)))
+        parts = sets.join(edges.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "comp", F.coalesce("component", "rep")
+        )
+        edges = edges.select(F.col("node").alias("a"), F.col("component").alias("b"))
     left = _candidates(entries(F.col("prefix"), parts), sets, share, forest=False)
     more = _similar(left, df, words, share)
-    known = first.where(F.col("rep") != F.col("comp")).select(
-        F.col("rep").alias("a"), F.col("comp").alias("b")
-    )
-    final = components(known.unionByName(more)).withColumnRenamed("node", "rep")
+    final = components(edges.unionByName(more)).withColumnRenamed("node", "rep")
     named = (
         sets.select(*classes, "rep")
         .join(final, "rep", "left")
