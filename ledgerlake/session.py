@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_made: list[str] = []
 
 # Settings for large inputs, to be given to the cluster's session.
 CLUSTER_SETTINGS = {
@@ -47,9 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="ledgerlake-")
-    spark.conf.set(_CHECKPOINT_DIR, made)
-    return made
+    # a static setting can't be changed in a running session, so the folder is remembered here
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="ledgerlake-"))
+    return _made[0]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

@@ -10,10 +10,6 @@ from ledgerlake.operators import compare, explore, quality
 from ledgerlake.suite import fixtures
 from ledgerlake.suite.sqltext import trips as over_trips
 
-# Above twice the rows compared, so that percentiles come out exact there; beyond that the rank
-# error stays below 1/250000. The size of each task's summary grows with this number, and not
-# with the data; the operators themselves default to 10000.
-_ACCURACY = 250_000
 _SUMMARISED = ("total_amount", "passenger_count", "trip_distance")
 _PERCENTILES = {
     "total_amount_p1_p50_p99": ("total_amount", (0.01, 0.5, 0.99)),
@@ -57,7 +53,7 @@ def volume_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.numeric_summary(fixtures.trips(spark, sf_dir), _SUMMARISED, _ACCURACY)
+    return explore.numeric_summary(fixtures.trips(spark, sf_dir), _SUMMARISED)
 
 
 def percentiles_by_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +63,6 @@ def percentiles_by_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
         taxi.FLEET,
         _PERCENTILES,
         {"media_passageiros": "passenger_count"},
-        _ACCURACY,
     )
     return arrays.select(
         taxi.FLEET,

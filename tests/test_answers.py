@@ -189,19 +189,28 @@ def test_null_and_zero_counts_and_codes(spark):
     assert rows(explore.code_matches_null(df, "c", 0, "n")) == [(2, 2)]
 
 
-def test_percentiles_within_the_promised_rank_error(spark):
+def test_percentiles_are_exact(spark):
     rng = random.Random(7)
-    values = [round(rng.lognormvariate(2, 1), 2) for _ in range(60000)]
-    df = spark.createDataFrame([("a", v) for v in values], "f string, v double").repartition(8)
+    values = [round(rng.lognormvariate(2, 3), 2) for _ in range(20000)]
+    data = [("a", v) for v in values] + [("b", 4.0)] * 300 + [(None, 1.0), (None, None), ("c", None)]
+    df = spark.createDataFrame(data, "f string, v double").repartition(8)
     fractions = (0.01, 0.5, 0.99)
-    found = explore.percentiles(df, "f", {"p": ("v", fractions)}, {"mean": "v"}).first()
+    result = explore.percentiles(df, "f", {"p": ("v", fractions)}, {"mean": "v"}).collect()
+    found = {r["f"]: r for r in result}
     ordered = sorted(values)
-    allowed = len(values) / explore.DEFAULT_ACCURACY + 1
-    for fraction, value in zip(fractions, found["p"], strict=True):
-        below = sum(v < value for v in ordered)
-        upto = sum(v <= value for v in ordered)
-        assert below - allowed <= fraction * len(values) <= upto + allowed
-    assert found["mean"] == pytest.approx(sum(values) / len(values))
+    assert found["a"]["p"] == [ordered[-(-len(values) * k // 100) - 1] for k in (1, 50, 99)]
+    assert found["b"]["p"] == [4.0] * 3
+    assert found[None]["p"] == [1.0] * 3
+    assert found["c"]["p"] is None
+    assert found["a"]["mean"] == pytest.approx(sum(values) / len(values))
+
+
+def test_percentiles_of_what_is_no_finite_number(spark):
+    data = [(float(x),) for x in ("-inf", "1", "2", "inf", "nan", "nan")]
+    df = spark.createDataFrame(data, "v double")
+    found = explore.exact_percentiles(df, [], {"v": [0.1, 0.5, 0.6, 0.9]}).orderBy("fraction").collect()
+    assert [str(r["value"]) for r in found] == ["-inf", "2.0", "inf", "nan"]
+    assert explore.exact_percentiles(df.limit(0), [], {"v": [0.5]}).count() == 0
 
 
 def test_numeric_summary(spark):
