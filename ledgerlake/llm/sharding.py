@@ -2,7 +2,8 @@
 
 Rows of a stratum are put in a seeded random order. Rank r of n becomes the fraction (r + 1/2) / n,
 all rows are sorted by fraction, and the sorted sequence is cut into shards of equal row counts.
-A run of consecutive rows then holds each stratum in proportion, up to one row per stratum.
+A run of consecutive rows then holds each stratum in proportion, up to one row for each stratum that
+its bounds cut.
 
 Ranks come without sorting a stratum in one task: the order key is a hash, its leading bits are a
 bucket of some thousand rows, and a rank is the rows of earlier buckets plus the rank inside the own
