@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ledgerlake.spec import MetricSpec, OutputSpec, Rule
 
 
+#: Differing rows that an error message names.
+_SHOWN = 20
+
+
 class ReconciliationError(AssertionError):
     """Counts that do not add up."""
 
@@ -249,10 +253,17 @@ def _with_difference(df: DataFrame, whole: str, parts: Sequence[str]) -> DataFra
 
 
 def require_zero_difference(checked: DataFrame, what: str) -> None:
-    """Raise when a check has a difference. At most the failing scopes reach the driver."""
-    broken = checked.filter(~F.col("diff").eqNullSafe(F.lit(0))).take(20)
-    if broken:
-        raise ReconciliationError(f"{what}: " + "; ".join(str(r.asDict()) for r in broken))
+    """Raise when a check has a difference, with the number of differing rows and some of them.
+
+    The error has the whole table of differences as ``differences``.
+    """
+    broken = checked.filter(~F.col("diff").eqNullSafe(F.lit(0)))
+    shown = broken.take(_SHOWN)
+    if shown:
+        told = "; ".join(str(r.asDict()) for r in shown)
+        error = ReconciliationError(f"{what}: {broken.count()} rows differ, among them {told}")
+        error.differences = broken
+        raise error
 
 
 def clean_yield(reconciled: DataFrame, by: str, digits: int = 4) -> DataFrame:

@@ -88,21 +88,28 @@ def check_landing(
     landing_root: str,
     partitions: Sequence[Partition],
 ) -> None:
-    """Every source must be there; a scope landed with all its months must have its known bytes."""
+    """Every source must be there; a scope whose declared months are all in the run must have its
+    known bytes in these. A scope of which some are missing is not judged by bytes.
+    """
     grid = landing.requested_grid(spark, partitions)
     expected = landing.manifest(grid, dataset.layout, landing_root)
     sizes = landing.source_sizes(landing.listing(spark, landing_root), dataset.layout).cache()
-    landing.require_all(expected, sizes)
-    whole = [
-        (scope, total)
-        for scope, total in dataset.expected_bytes.items()
-        if {m for s, m in partitions if s == scope} == set(dataset.months)
-    ]
-    if whole:
-        totals = spark.createDataFrame(whole, "scope string, expected_bytes long")
-        files = landing.inventory(expected, sizes).join(totals, "scope", "left_semi")
-        landing.require_intact(landing.integrity(files, totals))
-    sizes.unpersist()
+    try:
+        landing.require_all(expected, sizes)
+        # totals are known for the declared months; others of the run are not judged by them
+        judged = [
+            (scope, month, total)
+            for scope, total in dataset.expected_bytes.items()
+            if set(dataset.months) <= {m for s, m in partitions if s == scope}
+            for month in dataset.months
+        ]
+        if judged:
+            known = spark.createDataFrame(judged, "scope string, month string, expected_bytes long")
+            totals = known.select("scope", "expected_bytes").distinct()
+            files = landing.inventory(expected, sizes).join(known, ["scope", "month"], "left_semi")
+            landing.require_intact(landing.integrity(files, totals))
+    finally:
+        sizes.unpersist()
 
 
 def load_conformed(
@@ -148,7 +155,7 @@ def load_checked(
     table = dataset.table
     reason = dataset.rejected.columns[-1].name
     # On partition columns only, so it prunes folders.
-    in_run = F.concat_ws("/", table.scope, table.month).isin(["/".join(p) for p in partitions])
+    in_run = sinks.is_target((table.scope, table.month), partitions)
     source = conformed(spark, dataset, warehouse).filter(in_run)
     classified = quality.classify(source, dataset.rules, dataset.violated_rule)
 
@@ -236,6 +243,21 @@ def load_metrics(
     counted = quality.scope_counts(
         conformed(spark, dataset, warehouse), names.scope, names.total
     ).cache()
+    try:
+        _require_consistent(metrics, counted, stored, dataset)
+    finally:
+        counted.unpersist()
+
+
+def _require_consistent(
+    metrics: DataFrame, counted: DataFrame, stored: DataFrame, dataset: Dataset
+) -> None:
+    names = dataset.metrics
+    reason = dataset.rejected.columns[-1].name
+    quality.require_zero_difference(
+        quality.reason_check(stored.filter(F.col(OUTCOME) == REJECTED), metrics, names, reason),
+        "rejected rows per reason are not the stored metrics",
+    )
     quality.require_zero_difference(
         quality.reconcile(metrics, counted, names), "input is not clean plus rejected"
     )
@@ -247,7 +269,6 @@ def load_metrics(
         quality.partition_check(counted, *sides, names.scope),
         "stored clean and rejected rows are not the input",
     )
-    counted.unpersist()
 
 
 def answer(spark: SparkSession, warehouse: Warehouse, hour_month: str) -> dict[str, DataFrame]:

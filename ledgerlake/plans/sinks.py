@@ -4,23 +4,41 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Target = tuple[str, ...]
+Target = tuple[str | None, ...]
+_LOOKUP_THREADS = 16
 
 
 class EmptyTargetError(ValueError):
     """A partition that was to be replaced got no rows."""
 
 
+def is_target(columns: Sequence[str], targets: Sequence[Target]) -> Column:
+    """Whether the columns hold one of the listed values; a NULL is a value like others."""
+
+    def row(values: Sequence[Column]) -> Column:
+        return F.struct(*(v.cast("string").alias(f"v{i}") for i, v in enumerate(values)))
+
+    return row([F.col(c) for c in columns]).isin([row([F.lit(v) for v in t]) for t in targets])
+
+
 def only_targets(df: DataFrame, columns: Sequence[str], targets: Sequence[Target]) -> DataFrame:
-    """``df`` itself, failing at run time on a row outside the listed partitions."""
-    key = F.concat_ws("/", *(F.col(c) for c in columns))
-    listed = key.isin(["/".join(t) for t in targets])
-    outside = F.raise_error(F.concat(F.lit("row outside the target partitions: "), key))
-    return df.filter(F.when(listed, F.lit(True)).otherwise(outside.cast("boolean")))
+    """``df`` itself, failing at run time on a row outside the listed partitions.
+
+    The check is part of the value of a partition column, which only the writer asks for: a filter
+    could be moved below a join and then fail on rows that the join removes.
+    """
+    first = columns[0]
+    told = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns))
+    outside = F.raise_error(F.concat(F.lit("row outside the target partitions: "), told))
+    kind = df.schema[first].dataType
+    return df.withColumn(
+        first, F.when(is_target(columns, targets), F.col(first)).otherwise(outside.cast(kind))
+    )
 
 
 def write_partitions(
@@ -99,7 +117,7 @@ def publish_view(
     """Create or replace a saved query; ``comments`` maps its columns to descriptions."""
     columns = ""
     if comments:
-        described = ", ".join(f"`{c}` COMMENT '{text}'" for c, text in comments.items())
+        described = ", ".join(f"`{c}` COMMENT '{_quoted(text)}'" for c, text in comments.items())
         columns = f" ({described})"
     spark.sql(f"CREATE OR REPLACE VIEW {name}{columns} AS {query}")
 
@@ -108,6 +126,11 @@ def views_in(spark: SparkSession, schema: str) -> DataFrame:
     return spark.sql(f"SHOW VIEWS IN {schema}")
 
 
+def _quoted(text: str) -> str:
+    """Text for a SQL literal in single quotes."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _without_scheme(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/").replace("//", "/")
 
@@ -133,19 +156,29 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _one_file_per_leaf(
     spark: SparkSession, path: str, partition_cols: Sequence[str], targets: Sequence[Target]
 ) -> dict[str, str]:
-    """Leaf folders below the targets, each with one of its data files."""
-    found: dict[str, str] = {}
-    for target in targets:
-        folder = "/".join(f"{c}={v}" for c, v in zip(partition_cols, target, strict=False))
+    """Leaf folders below the targets, each with one of its data files, looked up side by side."""
+    # the names that Spark gives to folders, with its escapes and its name for NULL
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+
+    def look_up(target: Target) -> dict[str, str]:
+        found: dict[str, str] = {}
+        parts = zip(partition_cols, target, strict=False)
+        folder = "/".join(named.getPartitionPathString(c, v) for c, v in parts)
         _collect_leaves(spark, f"{path}/{folder}", len(partition_cols) - len(target), found)
-    return found
+        return found
+
+    with ThreadPoolExecutor(_LOOKUP_THREADS) as pool:
+        return {k: v for found in pool.map(look_up, targets) for k, v in found.items()}
 
 
 def _collect_leaves(spark: SparkSession, folder: str, levels: int, found: dict[str, str]) -> None:
     fs, hadoop_path = _file_system(spark, folder)
     if not fs.exists(hadoop_path):
         return
-    for status in fs.listStatus(hadoop_path):
+    # an iterator: one file of a leaf is enough, however many there are
+    statuses = fs.listStatusIterator(hadoop_path)
+    while statuses.hasNext():
+        status = statuses.next()
         name = status.getPath().getName()
         if levels == 0 and not name.startswith(("_", ".")):
             found[folder] = status.getPath().toString()

@@ -56,8 +56,8 @@ def test_full_run_and_its_repetition(spark, warehouse, tmp_path):
         ]
     assert table(spark, warehouse, views.TRIPS).count() == 2
     assert table(spark, warehouse, views.METRICS).count() == 18
-    assert rows(result["month"]) == [("2023-03", 20.0, 1)]
-    assert rows(result["hour"]) == [("frota_completa", 22, 3.0, 1)]
+    assert rows(result["month"]) == [("2023-04", 31.5, 1)]
+    assert rows(result["hour"]) == [("frota_completa", 3, 5.0, 1)]
     assert all(r.ok for r in result["month_parity"].collect())
     before = snapshot(spark, warehouse)
     run(spark, warehouse, root, partitions)
@@ -91,7 +91,7 @@ def test_selective_run_leaves_the_rest_alone(spark, warehouse, tmp_path):
     clean = table(spark, warehouse, views.TRIPS)
     assert rows(clean.groupBy("taxi_type", "pickup_year_month").count()) == [
         ("green", "2023-05", 1),
-        ("yellow", "2023-03", 1),
+        ("yellow", "2023-04", 1),
     ]
 
 

@@ -130,3 +130,41 @@ def test_table_and_view(spark, path, tmp_path):
     sinks.overwrite_table(spark.range(3), "sink_test.m", str(tmp_path / "m"))
     sinks.overwrite_table(table(spark, 1), "sink_test.m", str(tmp_path / "m"))
     assert spark.table("sink_test.m").columns == ["id", "fleet", "month"]
+
+
+ODD = ["a:b", "a b", "a%b", "a/b", "a=b", "été", None]
+
+
+def test_odd_partition_values(spark, tmp_path):
+    target = str(tmp_path / "t")
+    cells = [(v, m) for v in ODD for m in ("m1", "m2")]
+    sinks.write_partitions(table(spark, 0, cells), target, KEYS, cells)
+    assert set(stored(spark, target)) == set(cells)
+    sinks.write_partitions(table(spark, 9, [(v, "m1") for v in ODD], n=1), target, KEYS, cells)
+    assert stored(spark, target) == {(v, "m1"): (1, 9) for v in ODD}
+    with pytest.raises(sinks.EmptyTargetError):
+        some = [("a:b", "m1")]
+        sinks.write_partitions(table(spark, 0, []), target, KEYS, some, when_empty="raise")
+
+
+def test_joined_values_are_not_mistaken(spark, tmp_path):
+    rows_ = table(spark, 0, [("a/b", "c")])
+    with pytest.raises(Exception, match="outside the target"):
+        sinks.write_partitions(rows_, str(tmp_path / "t"), KEYS, [("a", "b/c")])
+
+
+def test_rows_that_a_join_removes_do_not_count(spark, tmp_path):
+    wanted = spark.createDataFrame([("a", "2023-01")], "fleet string, month string")
+    for how in ("left_semi", "inner"):
+        target = str(tmp_path / how)
+        cut = table(spark, 0).join(wanted, ["fleet", "month"], how).select("id", "fleet", "month")
+        sinks.write_partitions(cut, target, KEYS, [("a", "2023-01")])
+        assert stored(spark, target) == {("a", "2023-01"): (3, 0)}
+
+
+def test_comments_with_quotes(spark, tmp_path):
+    view = "default.quoted_view"
+    sinks.publish_view(spark, view, "SELECT 1 AS one", {"one": "the driver's \\ count"})
+    told = spark.sql(f"DESCRIBE TABLE {view}").first()["comment"]
+    spark.sql(f"DROP VIEW {view}")
+    assert told == "the driver's \\ count"
