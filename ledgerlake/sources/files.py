@@ -1,8 +1,9 @@
 """Reading monthly sources whose schemas drift.
 
-Schemas are never merged. The footer of each source is looked up on its own, sources that share
-scope and physical schema are then read by one scan, so the plan grows with the number of schema
-variants and not with the number of files.
+Schemas are never merged. The footers of all files are read on the executors and grouped by distinct
+schema; a folder whose files differ is several sources, each checked and read with its own schema.
+Sources that share scope and physical schema are then read by one scan, so the plan grows with the
+number of schema variants and not with the number of files.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,14 +22,56 @@ from pyspark.sql.types import StructType
 from ledgerlake.spec import Dataset, Layout
 
 _FOOTER_THREADS = 16
+#: Schemes that Arrow opens by itself; other stores are looked up by Spark, a file at a time.
+_ARROW_SCHEMES = {"": "", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 
 
 @dataclass(frozen=True)
 class LandedSource:
+    """Files of one (scope, month) with the same schema: the whole path, or the listed files of it."""
+
     scope: str
     month: str
     path: str
     schema: StructType
+    files: tuple[str, ...] = ()
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return self.files or (self.path,)
+
+
+def _arrow_uri(path: str) -> str | None:
+    scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme:
+        return "file://" + path
+    known = _ARROW_SCHEMES.get(scheme)
+    return f"{known}:///{rest.lstrip('/')}" if known == "file" else known and f"{known}:{rest}"
+
+
+def _described(path: str) -> str:
+    """Names and physical types of a Parquet file, from its footer."""
+    filesystem, inside = pa.fs.FileSystem.from_uri(_arrow_uri(path))
+    schema = pq.ParquetFile(inside, filesystem=filesystem).schema
+    columns = (schema.column(i) for i in range(len(schema)))
+    return "; ".join(f"{c.path} {c.physical_type} {c.logical_type}" for c in columns)
+
+
+def _footers(spark: SparkSession, dataset: Dataset, paths: Sequence[str]) -> DataFrame:
+    """scope, month, path, footer of every file below the paths, looked up on the executors."""
+    pattern = dataset.layout.pattern()
+
+    def describe(batches):
+        for batch in batches:
+            footer = [_described(path) for path in batch["path"].to_pylist()]
+            yield batch.append_column("footer", pa.array(footer, pa.string()))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return files.select(
+        F.regexp_extract("path", pattern, 1).alias("scope"),
+        F.regexp_extract("path", pattern, 2).alias("month"),
+        "path",
+    ).mapInArrow(describe, "scope string, month string, path string, footer string")
 
 
 def landed_sources(
@@ -34,15 +80,60 @@ def landed_sources(
     root: str,
     partitions: Iterable[tuple[str, str]],
 ) -> list[LandedSource]:
-    """Footer schema of each requested (scope, month): metadata only, looked up side by side."""
-    wanted = [(s, m, dataset.layout.source_path(root, s, m)) for s, m in partitions]
+    """The requested (scope, month) sources, once per distinct schema among their files.
+
+    The driver gets one row per source and distinct schema, and file names only of sources whose
+    files differ.
+    """
+    wanted = {(s, m): dataset.layout.source_path(root, s, m) for s, m in partitions}
+    if not wanted:
+        return []
+    if _arrow_uri(root) is None:
+        return _one_by_one(spark, wanted)
+    footers = _footers(spark, dataset, sorted(wanted.values())).cache()
+    try:
+        kinds = footers.groupBy("scope", "month", "footer").agg(F.min("path").alias("path")).collect()
+        schemas: dict[tuple[str, str], list] = {}
+        for kind in kinds:
+            schemas.setdefault((kind["scope"], kind["month"]), []).append(kind)
+        mixed = {key for key, found in schemas.items() if len(found) > 1}
+        files: dict[tuple[str, str, str], list[str]] = {}
+        if mixed:
+            listed = F.struct("scope", "month").isin(
+                [F.struct(F.lit(s).alias("scope"), F.lit(m).alias("month")) for s, m in mixed]
+            )
+            for row in footers.filter(listed).collect():
+                files.setdefault((row["scope"], row["month"], row["footer"]), []).append(row["path"])
+    finally:
+        footers.unpersist()
+
+    def look_up(kind) -> LandedSource:
+        key = (kind["scope"], kind["month"])
+        own = tuple(sorted(files.get((*key, kind["footer"]), ())))
+        return LandedSource(*key, wanted[key], spark.read.parquet(kind["path"]).schema, own)
+
+    chosen = [k for key in wanted for k in sorted(schemas.get(key, ()), key=lambda k: k["footer"])]
+    with ThreadPoolExecutor(_FOOTER_THREADS) as pool:
+        return list(pool.map(look_up, chosen))
+
+
+def _one_by_one(spark: SparkSession, wanted: dict[tuple[str, str], str]) -> list[LandedSource]:
+    """The same for stores that only Spark opens: each file's schema is asked for by itself."""
 
-    def footer(item: tuple[str, str, str]) -> LandedSource:
-        scope, month, path = item
-        return LandedSource(scope, month, path, spark.read.parquet(path).schema)
+    def look_up(item) -> list[LandedSource]:
+        (scope, month), path = item
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        kinds: dict[str, tuple[StructType, list[str]]] = {}
+        for file in sorted(r["path"] for r in listed.select("path").collect()):
+            schema = spark.read.parquet(file).schema
+            kinds.setdefault(schema.json(), (schema, []))[1].append(file)
+        return [
+            LandedSource(scope, month, path, schema, tuple(files) if len(kinds) > 1 else ())
+            for schema, files in kinds.values()
+        ]
 
     with ThreadPoolExecutor(_FOOTER_THREADS) as pool:
-        return list(pool.map(footer, wanted))
+        return [source for found in pool.map(look_up, wanted.items()) for source in found]
 
 
 @dataclass(frozen=True)
@@ -55,7 +146,7 @@ class Variant:
     sources: tuple[LandedSource, ...]
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(*(s.path for s in self.sources))
+        return spark.read.schema(self.schema).parquet(*(p for s in self.sources for p in s.paths))
 
 
 def file_month(layout: Layout) -> Column:

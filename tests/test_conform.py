@@ -104,6 +104,44 @@ def test_drift_is_reported_and_stops_the_load(spark, tmp_path, change, expected)
         conform.conform_sources(spark, sources, DATASET)
 
 
+@pytest.mark.parametrize(
+    ("change", "column"),
+    [
+        (lambda d: d.withColumnRenamed("total_amount", "Total_Amt"), "Total_Amt"),
+        (lambda d: d.withColumnRenamed("total_amount", "TOTAL_AMOUNT"), "TOTAL_AMOUNT"),
+        (lambda d: d.withColumn("surprise", F.lit(1)), "surprise"),
+        (lambda d: d.drop("extra"), "extra"),
+    ],
+)
+def test_drift_of_one_file_of_a_folder(spark, tmp_path, change, column):
+    path = DATASET.layout.source_path(str(tmp_path), "yellow", "2023-04")
+    good = raw(spark, "yellow", "2023-04").coalesce(1)
+    good.write.parquet(path)
+    change(good).write.mode("append").parquet(path)
+    sources = files.landed_sources(spark, DATASET, str(tmp_path), [("yellow", "2023-04")])
+    assert len(sources) == 2
+    with pytest.raises(conform.DriftError, match=column):
+        conform.conform_sources(spark, sources, DATASET)
+
+
+def test_files_of_a_folder_with_other_types(spark, tmp_path):
+    path = DATASET.layout.source_path(str(tmp_path), "yellow", "2023-04")
+    good = raw(spark, "yellow", "2023-04").coalesce(1)
+    good.write.parquet(path)
+    good.withColumn("passenger_count", F.col("passenger_count").cast("double")).write.mode(
+        "append"
+    ).parquet(path)
+    sources = files.landed_sources(spark, DATASET, str(tmp_path), [("yellow", "2023-04")])
+    assert len(files.variants(sources, DATASET)) == 2
+    df = conform.conform_sources(spark, sources, DATASET)
+    assert df.count() == 2 * good.count()
+    assert df.filter("total_amount IS NULL").count() == 2 * good.filter("total_amount IS NULL").count()
+    assert df.filter("passenger_count IS NULL").count() == 2 * good.filter(
+        "passenger_count IS NULL"
+    ).count()
+    assert {r[0] for r in df.select(TABLE.month).distinct().collect()} == {"2023-04"}
+
+
 @pytest.mark.parametrize("ansi", ["true", "false"])
 @pytest.mark.parametrize("value", [3e9, float("nan")])
 def test_cast_overflow_fails_in_every_session(spark, ansi, value):
