@@ -44,7 +44,7 @@ FREQUENT_AMONG = 1 << 21
 #: Entries of the table of frequent shingles, the most frequent first.
 FREQUENT_TABLE = 1 << 18
 #: Bits per shingle in a bitmap, before rounding up to a power of two.
-BITS = 4
+BITS = 2
 #: Bits of the filter that holds back texts without any candidate pair.
 FILTER_BITS = 1 << 23
 
