@@ -46,8 +46,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="bench")
     spark.sparkContext.setLogLevel("ERROR")
-    fixtures.stored(spark, sf_dir)  # landing folder and tables that some queries read
-    seconds = {"full_run": round(timed(lambda: full_run(spark, sf_dir)), 3)}
+    # landing folder and tables that some queries read: entries of their own
+    seconds = {
+        "landing": round(timed(lambda: fixtures.landing_root(spark, sf_dir)), 3),
+        "stored_tables": round(timed(lambda: fixtures.stored(spark, sf_dir)), 3),
+        "full_run": round(timed(lambda: full_run(spark, sf_dir)), 3),
+    }
     for name in QUERIES:
         execute(spark, sf_dir, name)  # warm-up
         seconds[name] = round(timed(lambda n=name: execute(spark, sf_dir, n)), 3)

@@ -3,11 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from ledgerlake.suite import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
 
 # Full scans of the inputs per query, where it is more than one: a second computation or an
 # independent count is the point of these, or the sources have several schemas.
@@ -39,6 +38,8 @@ def connection():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLES.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
