@@ -408,12 +408,29 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
 def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The rows whose doc_id names their component, one row each; all columns are kept.
 
-    Rows with a NULL doc_id can't be told apart from their copies and are kept as they are.
+    Rows with a NULL doc_id can't be told apart from their copies and are kept as they are. Texts
+    stay where they are read, but for those whose ids look like ones that go or that repeat.
     """
-    found = jaccard_components(df, words, share)
-    kept = (
-        found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = cut(jaccard_components(df, words, share).where(F.col("doc_id").isNotNull()))
+    judged = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
     )
-    named = df.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    one = named.dropDuplicates(["doc_id"]).select(*df.columns)
-    return one.unionByName(df.where(F.col("doc_id").isNull()))
+    bits = _filter_of(judged.where((F.col("n") > 1) | ~F.col("stays")), "doc_id")
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    placed = df.withColumn("__at", F.when(F.col("doc_id").isNotNull(), hashed))
+
+    columns, schema = df.columns, df.schema
+
+    def split(listed: bool):
+        def pick(batches):
+            for batch in batches:
+                at = batch["__at"].fill_null(0).to_numpy(zero_copy_only=False)
+                hit = (bits[at // 64] >> (at % 64).astype(_U)) & _U(1) == 1
+                hit &= batch["__at"].is_valid().to_numpy(zero_copy_only=False)
+                yield batch.select(columns).filter(pa.array(hit == listed))
+
+        return placed.mapInArrow(pick, schema)
+
+    kept = judged.where("stays").select("doc_id")
+    doubtful = split(True).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return split(False).unionByName(doubtful.select(*df.columns))
