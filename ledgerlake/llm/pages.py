@@ -412,13 +412,13 @@ def extract(df: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     an empty text. Repeated pages have a row each; an empty table gives an empty result; other
     columns are ignored. White space is what Python's str.split takes for it.
     """
-    sample = (
-        df.where(F.length("html").between(1, SAMPLE_CHARS))
-        .select("html", F.xxhash64("page_id", "url").alias("at"))
-        .orderBy("at", "html")
-        .limit(sample_pages)
-        .toPandas()
+    # hashes first: a page is only sent to the driver if it is in the sample
+    hashed = df.where(F.length("html").between(1, SAMPLE_CHARS)).select(
+        "html", F.xxhash64("page_id", "url").alias("at")
     )
+    least = hashed.select("at").orderBy("at").limit(sample_pages).toPandas()["at"]
+    bound = int(least.max()) if len(least) else 0
+    sample = hashed.where(F.col("at") <= bound).orderBy("at", "html").limit(sample_pages).toPandas()
     labeller = trained(sample["html"].tolist())
 
     def read(batches):
