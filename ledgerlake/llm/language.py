@@ -5,6 +5,10 @@ word bounds) that are most frequent in some language. A known word scores its lo
 language. An unseen word is scored by its longest n-grams that are known: all of its 4-grams that the
 model has, else its 3-grams, 2-grams, single characters. The language with the highest sum wins.
 
+All languages are measured over the same keys: what a language hasn't shown has the frequency that
+it has in the mean of all languages, with the weight of UNSEEN words per key of the model. A language
+with few learning rows is thus near that mean and takes no text that another language knows better.
+
 Everything is counted over all learning rows. Only the model has a size limit (WORDS and GRAMS
 entries): it is held by every task.
 """
@@ -23,7 +27,7 @@ from ledgerlake.llm.words import Block, blocks, mix
 WORDS = 1 << 17
 GRAMS = 1 << 17
 LONGEST = 4
-#: Count of what a language hasn't shown.
+#: Words per key of the model that the mean of all languages counts for in each of them.
 UNSEEN = 0.5
 #: A softmax over sums of thousands of words is 0 or 1; this many words of evidence count.
 EVIDENCE = 20
@@ -115,8 +119,7 @@ def _word_counts(df: DataFrame) -> DataFrame:
 def _learned(df: DataFrame) -> DataFrame:
     """lang, n (0 for words), key, seen: counts over all learning rows.
 
-    N-grams are taken from the distinct words, with the words' counts. A word seen once in a
-    language is not a known one.
+    N-grams are taken from the distinct words, with the words' counts.
     """
 
     def spread(batches):
@@ -152,7 +155,6 @@ def _learned(df: DataFrame) -> DataFrame:
         .mapInArrow(spread, "lang string, n int, key long, seen long")
         .groupBy("lang", "n", "key")
         .agg(F.sum("seen").alias("seen"))
-        .where((F.col("n") > 0) | (F.col("seen") > 1))
     )
 
 
@@ -162,11 +164,11 @@ class Model:
     def __init__(self, learned: DataFrame, words: int, grams: int):
         sums = (
             learned.groupBy("lang", "n")
-            .agg(F.sum("seen").alias("every"), F.count(F.lit(1)).alias("kinds"))
+            .agg(F.sum("seen").alias("every"))
             .toPandas()
         )
         self.langs = sorted(set(sums["lang"]))
-        every = {(a, b): (c, d) for a, b, c, d in sums.itertuples(index=False)}
+        every = {(a, b): c for a, b, c in sums.itertuples(index=False)}
         self.tables = {}
         totals = learned.join(
             F.broadcast(self._totals(learned, sums)), ["lang", "n"]
@@ -186,17 +188,20 @@ class Model:
                 .toPandas()
             )
             keys = np.unique(rows["key"].to_numpy(np.int64).view(_U))
-            table = np.full((len(keys), len(self.langs)), UNSEEN)
+            seen = np.zeros((len(keys), len(self.langs)))
             at = np.searchsorted(keys, rows["key"].to_numpy(np.int64).view(_U))
             of = np.array([self.langs.index(x) for x in rows["lang"]], np.int64)
-            table[at, of] += rows["seen"].to_numpy(np.float64)
-            size = [sum(every.get((x, n), (0, 0))) + 1.0 for x in self.langs]
-            self.tables[n] = (keys, np.log(table / np.array(size)).astype(np.float32))
+            seen[at, of] = rows["seen"].to_numpy(np.float64)
+            size = np.array([every.get((x, n), 0) for x in self.langs], np.float64)
+            weight = UNSEEN * len(keys)
+            mean = (seen / np.maximum(size, 1)).sum(1, keepdims=True) / max(1, len(self.langs))
+            table = np.log(seen + weight * mean) - np.log(size + weight) if len(keys) else seen
+            self.tables[n] = (keys, table.astype(np.float32))
 
     @staticmethod
     def _totals(learned: DataFrame, sums) -> DataFrame:
         """Totals per language and length; as many rows as there are languages, times five."""
-        rows = [(a, int(b), int(c)) for a, b, c, _ in sums.itertuples(index=False)]
+        rows = [(a, int(b), int(c)) for a, b, c in sums.itertuples(index=False)]
         return learned.sparkSession.createDataFrame(rows, "lang string, n int, every long")
 
     def _known(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -119,6 +119,25 @@ def test_language_of_odd_rows(spark):
     assert language.identify(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_a_language_of_one_short_row_takes_no_others(spark):
+    docs = table(spark, SF, "documents")
+    few = documents(spark, [(10**9 + 1, "vuos bierggu guolli", "xa", "x"), (10**9 + 2, "bierggu", None, "x")])
+    found = language.identify(docs.unionByName(few.select(docs.columns))).cache()
+    right = found.join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert right.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    of = dict(collected(found.where("lang_pred = 'xa'"), "doc_id", "lang_pred"))
+    assert set(of) >= {10**9 + 1, 10**9 + 2} and len(of) < 10
+
+
+def test_words_seen_once_count(spark):
+    rows = [(k, "the cat sat on the mat", "en", "x") for k in range(1, 20)]
+    rows += [(101, "zq xj", "de", "x"), (102, "zq", None, "x")]
+    learned = language._learned(documents(spark, rows)).where("lang = 'de' and n = 0")
+    assert sorted(collected(learned, "seen")) == [(1,), (1,)]
+    found = dict(collected(language.identify(documents(spark, rows)), "doc_id", "lang_pred"))
+    assert found[102] == "de" and all(found[k] == "en" for k in range(1, 20))
+
+
 def best_score(text, pieces_of, unknown):
     best = [0.0] + [-np.inf] * len(text)
     for j in range(1, len(text) + 1):
