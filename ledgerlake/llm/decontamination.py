@@ -8,8 +8,14 @@ similar sequences share a key.
 
 Windows start at every STRIDE-th word of a document, and an item has a window at each phase of that
 stride, at every SEGMENT words, so that a passage meets one of them wherever it stands and wherever
-it was edited. Windows that share a key with an item are compared with it exactly: the edit distance
-of the item's words to the best matching run of words of the document.
+it was edited. An item of fewer than LONG words has too few windows for that: it is cut into one
+piece more than it may have edits, of which one is left whole by any allowed edits, and pieces are
+looked up at every word of a document. So no passage of such an item is missed; of longer ones,
+RECALL at least are found at the most edits allowed. Windows and pieces that share a key with an item
+are compared with it exactly: the edit distance of the item's words to the best matching run of words
+of the document.
+
+A character of a script that is written without spaces is a word.
 
 Benchmarks are held by every task in groups of bounded size; documents are read once per group.
 Texts are never shuffled.
@@ -24,9 +30,11 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.words import Block, blocks, mix
 
-#: Edits allowed, as a share of an item's words; items of fewer words are no evidence.
+#: Edits allowed, as a share of an item's words.
 EDITS = 0.2
-MIN_WORDS = 8
+#: Words from which on items are found by walks, and the share of their passages to be found.
+LONG = 40
+RECALL = 0.99
 STRIDE = 4
 SEGMENT = 8
 #: Walks, their steps, and places sampled of each.
@@ -40,16 +48,39 @@ _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _EDGE = np.zeros(256, bool)
 _EDGE[[b for b in range(128) if not chr(b).isalnum()]] = True
+#: Lead bytes of characters, and of them with the byte that follows, of scripts without spaces.
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xEA] = True
+_ALONE_PAIR = np.zeros(1 << 16, bool)
+for _lead, _low, _high in ((0xE0, 0xB8, 0xBB), (0xE1, 0x80, 0x82), (0xE1, 0x9E, 0x9F), (0xF0, 0xA0, 0xBF)):
+    _ALONE_PAIR[(_lead << 8) + _low : (_lead << 8) + _high + 1] = True
 _TABLE = 1 << 20
 _SIDE_BY_SIDE = 1 << 15
 
 
+def _split(block: Block) -> None:
+    """Makes a word of each character of a script without spaces, and of what stands between them."""
+    data, start, end = block.data, block.start, block.end
+    pair = data[:-1].astype(np.int64) << 8 | data[1:]
+    at = np.flatnonzero(np.append(_ALONE[data[:-1]] | _ALONE_PAIR[pair], False)) if len(data) else start[:0]
+    if not len(at):
+        return
+    size = np.where(data[at] == 0xF0, 4, 3)
+    cuts = np.unique(np.concatenate([at, at + size]))
+    inside = np.searchsorted(start, cuts, "right") - 1
+    cuts = cuts[(cuts > start[inside]) & (cuts < end[inside])]
+    block.start = np.sort(np.concatenate([start, cuts]))
+    block.end = np.sort(np.concatenate([end, cuts]))
+    block.word_ptr = np.searchsorted(block.start, block.offsets)
+
+
 def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words without marks at their ends, and per text the number of its first word.
 
     Words of marks alone are left out.
     """
     block.find_words()
+    _split(block)
     data, start, end = block.data, block.start.copy(), block.end.copy()
     if not len(start):
         return np.zeros(0, _U), np.zeros(block.rows + 1, np.int64)
@@ -90,8 +121,41 @@ def keys(words: np.ndarray, start: np.ndarray, end: np.ndarray, repeat: int) ->
     return out
 
 
+def piece_keys(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the pieces of `size` words from each start."""
+    out = np.full(len(start), size, _U)
+    for k in range(size):
+        out = mix(out * _ODD + words[start + k])
+    return out
+
+
+def pieces_of(size: int) -> np.ndarray:
+    """Where the pieces of an item begin, and its end: one piece more than it may have edits."""
+    return np.arange(int(EDITS * size) + 2) * size // (int(EDITS * size) + 1)
+
+
+class Keys:
+    """Keys of windows or pieces of items, with the items and where in them these stand."""
+
+    def __init__(self, of: np.ndarray, item: np.ndarray, phase: np.ndarray):
+        order = np.argsort(of, kind="stable")
+        self.keys, self.item, self.phase = of[order], item[order], phase[order]
+        self.likely = np.zeros(_TABLE, bool)
+        self.likely[(of & _U(_TABLE - 1)).astype(np.int64)] = True
+
+    def meet(self, of: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Rows (text, item, word where the item would start) of the keys `of` at `start`."""
+        some = np.flatnonzero(self.likely[(of & _U(_TABLE - 1)).astype(np.int64)])
+        low = np.searchsorted(self.keys, of[some], "left")
+        many = np.searchsorted(self.keys, of[some], "right") - low
+        at = np.repeat(np.arange(len(some)), many)
+        entry = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        window = some[at]
+        return np.stack([row[window], self.item[entry], start[window] - self.phase[entry]], 1)
+
+
 class Items:
-    """A group of benchmark items with the keys of their windows."""
+    """A group of benchmark items with the keys of their windows, or of their pieces."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids, self.words = [], []
@@ -99,51 +163,46 @@ class Items:
             words, ptr = _words(block)
             for k in range(block.rows):
                 line = words[ptr[k] : ptr[k + 1]]
-                if len(line) >= MIN_WORDS and ids[block.first + k] is not None:
+                if len(line) and ids[block.first + k] is not None:
                     self.ids.append(ids[block.first + k])
                     self.words.append(line)
-        item, phase = [], []
-        for k, line in enumerate(self.words):
-            for at in range(0, len(line) - MIN_WORDS + 1, SEGMENT):
-                some = range(at, min(at + STRIDE, len(line) - MIN_WORDS + 1))
-                item += [k] * len(some)
-                phase += some
-        self.item, self.phase = np.array(item, np.int64), np.array(phase, np.int64)
         size = np.array([len(x) for x in self.words], np.int64)
         ends = np.cumsum(size)
         flat = np.concatenate([np.zeros(0, _U), *self.words])
-        start = (ends - size)[self.item] + self.phase if len(item) else np.zeros(0, np.int64)
-        end = ends[self.item] if len(item) else np.zeros(0, np.int64)
-        self.keys, self.order, self.likely = [], [], []
-        for repeat in range(REPEATS):
-            of = keys(flat, start, end, repeat)
-            order = np.argsort(of, kind="stable")
-            likely = np.zeros(_TABLE, bool)
-            likely[(of & _U(_TABLE - 1)).astype(np.int64)] = True
-            self.keys.append(of[order])
-            self.order.append(order)
-            self.likely.append(likely)
+        windows, parts = [], {}
+        for k, line in enumerate(self.words):
+            if len(line) >= LONG:
+                windows += [(k, at + p) for at in range(0, len(line) - SEGMENT + 1, SEGMENT) for p in range(STRIDE)]
+            else:
+                cuts = pieces_of(len(line)).tolist()
+                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                    parts.setdefault(high - low, []).append((k, low))
+        item, phase = np.array(windows, np.int64).reshape(-1, 2).T
+        start = (ends - size)[item] + phase if len(item) else item
+        end = ends[item] if len(item) else item
+        self.walks = [
+            Keys(keys(flat, start, end, repeat), item, phase) for repeat in range(REPEATS if len(item) else 0)
+        ]
+        self.pieces = {}
+        for n, places in sorted(parts.items()):
+            item, phase = np.array(places, np.int64).T
+            self.pieces[n] = Keys(piece_keys(flat, (ends - size)[item] + phase, n), item, phase)
 
     def _candidates(self, words: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """Rows (text, item, word where the item would start), distinct."""
         size = np.diff(ptr)
+        found = [np.zeros((0, 3), np.int64)]
         count = (size + STRIDE - 1) // STRIDE
         row = np.repeat(np.arange(len(size)), count)
         start = ptr[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
         end = ptr[row + 1]
-        found = []
-        for repeat in range(REPEATS):
-            of = keys(words, start, end, repeat)
-            some = np.flatnonzero(self.likely[repeat][(of & _U(_TABLE - 1)).astype(np.int64)])
-            low = np.searchsorted(self.keys[repeat], of[some], "left")
-            many = np.searchsorted(self.keys[repeat], of[some], "right") - low
-            at = np.repeat(np.arange(len(some)), many)
-            k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            entry = self.order[repeat][low[at] + k]
-            window = some[at]
-            found.append(
-                np.stack([row[window], self.item[entry], start[window] - self.phase[entry]], 1)
-            )
+        for repeat, held in enumerate(self.walks):
+            found.append(held.meet(keys(words, start, end, repeat), row, start))
+        for n, held in self.pieces.items():
+            count = np.maximum(size - n + 1, 0)
+            row = np.repeat(np.arange(len(size)), count)
+            start = ptr[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            found.append(held.meet(piece_keys(words, start, n), row, start))
         return np.unique(np.concatenate(found), axis=0)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
@@ -152,13 +211,16 @@ class Items:
         Of several runs of words at one item in one text the nearest counts, then the first.
         """
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if not len(self.item):
+        if not self.words:
             return []
         for block in blocks(texts):
             words, ptr = _words(block)
             candidates = self._candidates(words, ptr)
-            for k in np.unique(candidates[:, 1]).tolist():
-                some = candidates[candidates[:, 1] == k]
+            candidates = candidates[np.argsort(candidates[:, 1], kind="stable")]
+            for some in np.split(candidates, np.flatnonzero(np.diff(candidates[:, 1])) + 1):
+                if not len(some):
+                    continue
+                k = int(some[0, 1])
                 line = self.words[k]
                 slack = int(EDITS * len(line)) + STRIDE
                 for low in range(0, len(some), 2048):
@@ -264,7 +326,7 @@ def passages(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are counted without those of marks alone; end_word is exclusive. A document has one row per
     item, for the run of words with the fewest edits. NULL and empty texts hold nothing, and so do
-    items that are NULL or have fewer than MIN_WORDS words. Repeated documents have rows each, items
+    items that are NULL or have no word. An item of fewer than 5 words must stand as it is. Repeated documents have rows each, items
     that repeat an item_id with another text are searched each. Empty tables give an empty result.
     """
     found = None

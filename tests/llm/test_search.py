@@ -188,3 +188,27 @@ def test_passages(spark):
     assert decontamination.passages(documents(spark, rows), none).count() == 0
     assert decontamination.passages(documents(spark, rows).limit(0), benchmark).count() == 0
     assert decontamination.clean(documents(spark, rows), none).count() == len(rows)
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 5, 7, 8, 9, 10, 11, 14, 15, 19, 20, 30, 39, 40, 44, 50, 80])
+def test_passages_at_the_most_edits(size):
+    rng = random.Random(size)
+    count = 100
+    texts = [[f"i{item}x{k}" for k in range(size)] for item in range(count)]
+    items = decontamination.Items(list(range(count)), [" ".join(w) for w in texts])
+    docs = []
+    for words in texts:
+        edited = list(words)
+        for at in rng.sample(range(size), size // 5):
+            edited[at] = rng.choice(["other", "", words[at] + " more"])
+        docs.append(prose(rng, rng.randrange(50)) + " " + " ".join(edited) + " " + prose(rng, rng.randrange(50)))
+    found = {(row, item) for row, item, *_ in items.search(pa.array(docs))}
+    wanted = {(k, k) for k in range(count)}
+    assert found <= wanted
+    assert len(found) >= (decontamination.RECALL if size >= decontamination.LONG else 1) * count
+
+
+def test_passages_without_spaces():
+    items = decontamination.Items([1, 2], ["\u6771\u4eac\u306e\u5929\u6c17\u306f\u6674\u308c", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35"])
+    docs = ["abc\u4eca\u65e5\u306e\u6771\u4eac\u306e\u5929\u6c17\u304c\u6674\u308c\u3067\u3059", "x\u0e01\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e01", "\u6771\u4eac"]
+    assert [(row, item) for row, item, *_ in items.search(pa.array(docs))] == [(0, 1), (1, 2)]
