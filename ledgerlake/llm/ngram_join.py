@@ -15,9 +15,12 @@ any order gives the same result, so a table of the most frequent ones will do.
 It is done in rounds. The first ones take a few shingles of least hash of each set, which similar
 sets share with high chance, and keep, per group, a forest of likely pairs; these are compared and
 give provisional components, which already hold nearly all copies together. The last round takes all
-prefix shingles, and only groups in which different components still meet. Components are what is
-asked for, so pairs within one need no comparison, and a group of thousands of copies costs no more
-than its texts. No pair between different components is left out in the last round.
+prefix shingles, and only groups in which different components still meet. No pair between different
+components is left out in the last round.
+
+Links lie within components, so they are looked for when these are known: every class of a component
+is compared exactly with every other one that is near enough in size, in blocks. Where only numbers of
+links are wanted, each task sums them up and no pairs are stored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ SHARE = 85
 FIRST = (3, 6)
 #: Sets per block of a large group.
 BLOCK = 1024
+#: Shingles per block of a component whose links are looked for, and columns compared at a time.
+BLOCK_TOKENS = 1 << 20
+COLUMNS = 4096
 #: A shingle is frequent if it occurs so often among FREQUENT_AMONG shingles of one task.
 FREQUENT = 8
 FREQUENT_AMONG = 1 << 21
@@ -309,10 +315,8 @@ def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(_U)
 
 
-def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact comparison of the shingles of both."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+def _shingles_of(ids: DataFrame, df: DataFrame, words: int) -> DataFrame:
+    """id, tokens: the shingles of the documents with these ids."""
     bits = _filter_of(ids, "id")
 
     def tokens(batches):
@@ -326,7 +330,7 @@ def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFra
                     [some["doc_id"], pa.array(held, pa.binary())], names=["id", "tokens"]
                 )
 
-    sets = (
+    return (
         df.select(F.col("doc_id").cast("long"), "text")
         .where(F.col("doc_id").isNotNull())
         .withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
@@ -335,6 +339,13 @@ def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFra
         .dropDuplicates(["id"])
     )
 
+
+def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by exact comparison of the shingles of both."""
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = _shingles_of(ids, df, words)
+
     def compare(batches):
         for batch in batches:
             keep = []
@@ -352,25 +363,157 @@ def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFra
     )
 
 
-def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of (doc_id, text).
+def _in_common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each of x shares with each of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    tokens = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, column, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    # a shingle of one set is shared with none
+    some = counts[column] > 1
+    column = (np.cumsum(counts > 1) - 1)[column[some]]
+    row = row[some]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        held = np.zeros((len(x) + len(y), min(COLUMNS, width - low)), np.float32)
+        held[row[part], column[part] - low] = 1
+        out += (held[: len(x)] @ held[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _compare(share: int, listed: bool):
+    """Runs of rows of one pair of blocks become links (a, b, common), or links per set (rep, links)."""
+    names = ["rep", "copies", "guest", "tokens", "side", "across"]
+
+    def links(run: dict[str, list]):
+        side = np.array(run["side"], np.int64)
+        across = bool(run["across"][0])
+        rep, copies = np.array(run["rep"], np.int64), np.array(run["copies"], np.int64)
+        guest = np.array(run["guest"], bool)
+        sets = [np.frombuffer(x, _U) for x in run["tokens"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        p = np.flatnonzero(side == 0)
+        q = np.flatnonzero(side == 1) if across else p
+        if not len(p) or not len(q):
+            return None
+        common = _in_common([sets[k] for k in p], [sets[k] for k in q])
+        ok = 100 * common >= share * (size[p][:, None] + size[q][None, :] - common)
+        # two guests are compared where they are at home
+        ok &= ~(guest[p][:, None] & guest[q][None, :])
+        if not across:
+            np.fill_diagonal(ok, False)
+        if listed:
+            i, j = np.nonzero(ok if across else np.triu(ok))
+            a, b = rep[p[i]], rep[q[j]]
+            return np.minimum(a, b), np.maximum(a, b), common[i, j]
+        of_p = ok.astype(np.int64) @ copies[q]
+        if not across:
+            return rep[p], of_p
+        return np.concatenate([rep[p], rep[q]]), np.concatenate([of_p, ok.T.astype(np.int64) @ copies[p]])
 
-    Two texts are linked if 100 * common shingles >= share * all their shingles; a component is named
-    by its smallest doc_id. A NULL text, and one without a word, has no shingles, is linked with
-    nothing and is its own component. Rows that repeat a doc_id stand for one document and are
-    expected to repeat its text. A NULL doc_id gives a row with the component of its equals, or
-    NULL. An empty table gives an empty result; other columns are ignored.
+    def compare(batches):
+        run, of = {c: [] for c in names}, None
+        for batch in batches:
+            keys = list(zip(*(batch[c].to_pylist() for c in ("comp", "band", "s", "t")), strict=True))
+            columns = [batch[c].to_pylist() for c in names]
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True) if keys else ():
+                if keys[a] != of:
+                    if of is not None and (found := links(run)):
+                        yield batch_of(found)
+                    run, of = {c: [] for c in names}, keys[a]
+                for c, values in zip(names, columns, strict=True):
+                    run[c] += values[a:b]
+        if of is not None and (found := links(run)):
+            yield batch_of(found)
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in found], names=["a", "b", "common"] if listed else ["rep", "links"]
+        )
+
+    return compare
+
+
+def _links(classed: DataFrame, df: DataFrame, words: int, share: int, listed: bool) -> DataFrame:
+    """Links between classes: (a, b, common), a < b, or (rep, links), the documents linked by them.
+
+    A component too large for one block is taken by bands of sizes, as in `_groups`; there a class is a
+    guest in the band above its own.
+    """
+    width = 1.001 * float(np.log(100 / min(share, 99)))
+    own = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    light = classed.select("rep", "n", "copies", F.col("component_id").alias("comp"))
+    needed = F.ceil(
+        F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))
+    ).cast("int")
+    wholes = (
+        light.groupBy("comp").agg(F.count(F.lit(1)).alias("sets"), needed.alias("most")).where("sets > 1")
+    )
+    placed = (
+        light.join(wholes.select("comp", "most"), "comp")
+        .withColumn("home", F.when(F.col("most") > 1, own).otherwise(0))
+        .withColumn(
+            "band",
+            F.explode(F.when(F.col("most") > 1, F.array(F.col("home"), F.col("home") + 1)).otherwise(F.array("home"))),
+        )
+        .withColumn("guest", F.col("band") != F.col("home"))
+    )
+    groups = (
+        placed.groupBy("comp", "band")
+        .agg(
+            F.count(F.lit(1)).alias("sets"),
+            F.bool_and("guest").alias("strange"),
+            needed.alias("blocks"),
+        )
+        .where((F.col("sets") > 1) & ~F.col("strange"))
+        .select("comp", "band", "blocks")
+    )
+    found = (
+        placed.join(groups, ["comp", "band"])
+        .withColumn("own", F.pmod(F.xxhash64("band", "rep"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .withColumns({"s": F.least("own", "with"), "t": F.greatest("own", "with")})
+        .withColumn("across", F.col("s") != F.col("t"))
+        .withColumn("side", F.when(F.col("across") & (F.col("own") == F.col("t")), 1).otherwise(0))
+    )
+    ids = cut(placed.select(F.col("rep").alias("id")).distinct())
+    key = ["comp", "band", "s", "t"]
+    rows = found.join(_shingles_of(ids, df, words).withColumnRenamed("id", "rep"), "rep").select(
+        *key, "rep", "copies", "guest", "tokens", "side", "across"
+    )
+    compared = (
+        rows.repartition(*key)
+        .sortWithinPartitions(*key)
+        .mapInArrow(
+            _compare(share, listed), "a long, b long, common long" if listed else "rep long, links long"
+        )
+    )
+    return compared if listed else compared.groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+_CLASS = ["k1", "k2", "n"]
+
+
+def _classed(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, k1, k2 of every row, and the classes of equal sets that are not empty.
+
+    A class has its least doc_id (rep), the number of its documents (copies) and its component_id.
     """
     rows = cut(_checksums(df, words))
-    classes = ["k1", "k2", "n"]
     named = (
         rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        .groupBy(*classes)
-        .agg(F.min("doc_id").alias("rep"))
+        .groupBy(*_CLASS)
+        .agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     )
     profiles = _profiles(df, words, share).withColumnRenamed("doc_id", "rep")
     sets = cut(
-        named.join(profiles, "rep").dropDuplicates(["rep"]).select(*classes, "rep", "heads", "prefix", "bits")
+        named.join(profiles, "rep").dropDuplicates(["rep"]).select(
+            *_CLASS, "rep", "copies", "heads", "prefix", "bits"
+        )
     )
 
     def entries(tokens: Column, comp: DataFrame) -> DataFrame:
@@ -388,30 +531,61 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
     left = _candidates(entries(F.col("prefix"), parts), sets, share, forest=False)
     more = _similar(left, df, words, share)
     final = components(edges.unionByName(more)).withColumnRenamed("node", "rep")
-    named = (
-        sets.select(*classes, "rep")
+    return rows, cut(
+        sets.select(*_CLASS, "rep", "copies")
         .join(final, "rep", "left")
-        .select(*classes, F.coalesce("component", "rep").alias("component_id"))
+        .select(*_CLASS, "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
     )
+
+
+def _members(rows: DataFrame, classed: DataFrame, **columns: Column) -> DataFrame:
+    """doc_id, n_shingles, component_id and more columns of every row; one without shingles is alone."""
     return (
-        rows.where(F.col("n") > 0)
-        .join(named, classes, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(
-            rows.where(F.col("n") == 0).select(
-                "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
-            )
+        rows.join(classed, _CLASS, "left")
+        .withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            *(c.alias(name) for name, c in columns.items()),
         )
     )
 
 
+def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of (doc_id, text).
+
+    Two texts are linked if 100 * common shingles >= share * all their shingles; a component is named
+    by its smallest doc_id. n_links is the number of other documents that a text is linked with, those
+    of the same shingles included. A NULL text, and one without a word, has no shingles, is linked with
+    nothing and is its own component. Rows that repeat a doc_id stand for one document and are
+    expected to repeat its text. A NULL doc_id gives a row with the component of its equals, or
+    NULL. An empty table gives an empty result; other columns are ignored.
+    """
+    rows, classed = _classed(df, words, share)
+    linked = classed.join(_links(classed, df, words, share, listed=False), "rep", "left")
+    others = F.col("copies") - F.col("doc_id").isNotNull().cast("long") + F.coalesce("links", F.lit(0))
+    return _members(rows, linked, n_links=F.coalesce(others, F.lit(0)).cast("long"))
+
+
+def jaccard_links(df: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """All links: doc_id, n_shingles, component_id, class_id of every row, and those between classes.
+
+    Documents of one class_id have the same shingles and are linked with each other. Rows (a, b,
+    common), a < b, link all documents of class a with all of class b. Rows are those of
+    `jaccard_components`.
+    """
+    rows, classed = _classed(df, words, share)
+    return _members(rows, classed, class_id=F.col("rep")), _links(classed, df, words, share, listed=True)
+
+
 def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The rows whose doc_id names their component, one row each; all columns are kept.
 
     Rows with a NULL doc_id can't be told apart from their copies and are kept as they are. Texts
     stay where they are read, but for those whose ids look like ones that go or that repeat.
     """
-    found = cut(jaccard_components(df, words, share).where(F.col("doc_id").isNotNull()))
+    found = cut(_members(*_classed(df, words, share)).where(F.col("doc_id").isNotNull()))
     judged = found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
     )

@@ -132,6 +132,43 @@ def test_near_copies_of_odd_rows(spark):
     assert kept == [(i,) for i in (901, 902, 903, 904, 906, 907)] + [(None,)]
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 4}, {"BLOCK_TOKENS": 600, "COLUMNS": 50}])
+def test_links_within_components(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(6)
+    rows = family(rng, 0, 24, 90, 3) + family(rng, 40, 12, 130, 5) + [(60 + k, prose(rng, 40)) for k in range(5)]
+    text = rows[0][1]
+    for k in range(14):  # a chain of growing texts
+        text += " " + prose(rng, 8)
+        rows.append((100 + k, text))
+    rows += [(80, rows[3][1].upper()), (81, rows[3][1]), (82, ""), (83, None), (84, " ")]
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {
+        (i, j)
+        for i in sets
+        for j in sets
+        if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    }
+    df = documents(spark, [*rows, rows[3], (None, rows[3][1]), (None, "x y")])
+    found = collected(ngram_join.jaccard_components(df), "doc_id", "n_links")
+    count = {i: sum(i in pair for pair in want) for i in sets}
+    assert {(i, n) for i, n in found if i is not None} == set(count.items())
+    assert sorted(n for i, n in found if i is None) == [0, count[3] + 1]
+    members, links = ngram_join.jaccard_links(df)
+    of = dict(collected(members.where("doc_id IS NOT NULL"), "doc_id", "class_id"))
+    pairs = collected(links, "a", "b", "common")
+    assert len(set(pairs)) == len(pairs) and all(len(sets[a] & sets[b]) == n for a, b, n in pairs)
+    linked = {(a, b) for a, b, _ in pairs}
+    got = {
+        (i, j)
+        for i in of
+        for j in of
+        if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in linked)
+    }
+    assert got == want
+
+
 def test_words_of_blocks():
     texts = ["One two", None, "", " ONE\ttwo three ", "é É x"]
     seen = {}
