@@ -3,22 +3,46 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Stores the rows in the shared checkpoint folder, so that lost executors cost no recomputation.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors reach, as the cluster names it in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a session without that
-    setting, such as a test, gets a temporary one.
+    Only a session on a local master that leaves it unset, such as a test, gets a temporary one.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="ledgerlake-llm-"))
+    return _made[0]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Stores the rows in the shared checkpoint folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once as Parquet into the shared folder, and read again.
+
+    Unlike a checkpoint this computes them once only, and later steps read just the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

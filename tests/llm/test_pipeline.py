@@ -57,7 +57,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [k for n in range(1, 11) for k in names if k.startswith(f"op{n}_")] == list(queries.QUERIES)
+    assert [k for n in range(1, 14) for k in names if k.startswith(f"op{n}_")] == list(queries.QUERIES)
     assert names["pipeline"] is corpus_pipeline.run
 
 
