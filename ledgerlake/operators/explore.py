@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
-
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DecimalType,
+    DoubleType,
+    IntegralType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+from ledgerlake.operators import selection
 from ledgerlake.spec import Check
 
-# Parts that a range of values is cut into by one scan.
-BINS = 1024
-
 
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Every check in a single scan: (check, observed, expected, confirmed)."""
@@ -34,108 +43,57 @@ def exact_percentiles(
 ) -> DataFrame:
     """(by.., column_name, fraction, value): exact at every size, for `by` of few values.
 
-    The value at rank ceil(fraction * n) of the non-NULL values, NaN last. It is narrowed down: a
-    scan counts the values in BINS equal parts of the range that is left, the part that holds the
-    rank becomes the new range, until it is one value. A task never sees more than a few numbers per
-    part, no summary grows with the number of tasks, and all columns and fractions share each scan.
-    Ranges are collected: one row per group, column and fraction.
+    See ``selection.select_ranks``. Columns of one type keep it; whole numbers of several types come
+    as longs, any others together as doubles.
     """
-    keys = [*by, "column_name"]
-    long = df.select(
-        *by,
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-                    for c in wanted
-                )
-            )
-        ),
-    ).filter(F.col("value").isNotNull())
-    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
-    asked = F.create_map(
-        *(x for c, fs in wanted.items() for x in (F.lit(c), F.array(*(F.lit(float(f)) for f in fs))))
-    )
-    ranges = (
-        long.groupBy(*keys)
-        .agg(F.count("value").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
-        .withColumn("fraction", F.explode(asked[F.col("column_name")]))
-        # fractions are decimals: 0.1 * 30 is 3, whatever its last bit says
-        .withColumn("rank", F.greatest(F.ceil(F.round(F.col("fraction") * F.col("n"), 6)), F.lit(1)))
-        .withColumn("value", F.lit(None).cast("double"))
-        .drop("n")
-    )
-    fields = [*keys, "fraction", "rank", "low", "high", "value"]
-    schema = ranges.select(*fields).schema
-    spark, done, open_ = df.sparkSession, [], [tuple(r) for r in ranges.select(*fields).collect()]
-    first = True
-    while open_:
-        targets = spark.createDataFrame(open_, schema).drop("value")
-        same = [F.col(f"v.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-        inside = F.col("v.value").between(F.col("low"), F.col("high"))
-        part = F.least(
-            F.floor((F.col("v.value") - F.col("low")) / (F.col("high") - F.col("low")) * BINS),
-            F.lit(BINS - 1),
-        )
-        # what is no finite number has parts of its own before and after
-        part = (
-            F.when(F.isnan("v.value"), BINS + 1)
-            .when(F.col("v.value") == float("inf"), BINS)
-            .when(F.col("v.value") == float("-inf"), -1)
-            .when(F.col("high") > F.col("low"), part)
-            .otherwise(0)
-        )
-        met = long.alias("v").join(F.broadcast(targets).alias("t"), [*same, inside | F.lit(first)])
-        counted = (
-            met.groupBy(*(F.col(f"t.{k}").alias(k) for k in keys), "fraction", "rank", part.alias("part"))
-            .agg(F.count("v.value").alias("n"), F.min("v.value").alias("a"), F.max("v.value").alias("b"))
-        )
-        upto = F.sum("n").over(Window.partitionBy(*keys, "fraction").orderBy("part"))
-        held = (
-            counted.withColumn("upto", upto)
-            .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-            .select(
-                *keys,
-                "fraction",
-                (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"),
-                F.col("a").alias("low"),
-                F.col("b").alias("high"),
-                F.when(F.col("a") == F.col("b"), F.col("a")).alias("value"),
-            )
-        )
-        rows = [tuple(r) for r in held.collect()]
-        done += [r for r in rows if r[-1] is not None]
-        open_ = [r for r in rows if r[-1] is None]
-        first = False
-    return spark.createDataFrame(done, schema).select(*keys, "fraction", "value")
+    types = [df.schema[c].dataType for c in wanted]
+    if len(set(types)) == 1:
+        value_type = types[0]
+    else:
+        value_type = LongType() if all(isinstance(t, IntegralType) for t in types) else DoubleType()
+    found = selection.select_ranks(df, by, wanted).values
+    told = float if isinstance(value_type, DoubleType) else lambda v: v
+    rows = [
+        (*group, column, fraction, told(value))
+        for group, values in found.items()
+        for (column, fraction), value in values.items()
+    ]
+    schema = StructType([StructField(c, df.schema[c].dataType) for c in by])
+    schema = schema.add("column_name", "string").add("fraction", "double").add("value", value_type)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+_QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+
+
+def _summary_type(kind: DataType) -> DataType:
+    """Double where it holds every value exactly; else long, or a decimal that holds a count too."""
+    if isinstance(kind, LongType):
+        return kind
+    if isinstance(kind, DecimalType):
+        return DecimalType(38, min(kind.scale, 18)) if kind.precision <= 20 else kind
+    return DoubleType()
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, minimum, exact quartiles and maximum of each column: one row per statistic."""
-    plain = df.agg(
-        *(
-            F.struct(
-                F.count(c).cast("double").alias("count"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
-        )
-    )
-    fractions = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-    found = exact_percentiles(df, [], {c: list(fractions.values()) for c in columns}).collect()
-    exact = {(r["column_name"], r["fraction"]): r["value"] for r in found}
+    found = selection.select_ranks(df, [], {c: list(_QUARTILES.values()) for c in columns})
+    schema = StructType([StructField("summary", StringType())])
+    for c in columns:
+        schema = schema.add(c, _summary_type(df.schema[c].dataType))
 
-    def statistic(name: str, column: str) -> Column:
-        if name not in fractions:
-            return F.col(column)[name]
-        return F.lit(exact.get((column, fractions[name]))).cast("double")
+    def statistic(name: str, c: str):
+        bounds = found.bounds[()][c]
+        value = {"count": bounds.count, "min": bounds.least, "max": bounds.greatest}.get(name)
+        if name in _QUARTILES:
+            value = found.values[()].get((c, _QUARTILES[name]))
+        kind = schema[c].dataType
+        if value is None:
+            return None
+        return float(value) if isinstance(kind, DoubleType) else Decimal(value) if isinstance(kind, DecimalType) else value
 
-    rows = [
-        F.struct(F.lit(s).alias("summary"), *(statistic(s, c).alias(c) for c in columns))
-        for s in ("count", "min", *fractions, "max")
-    ]
-    return plain.select(F.inline(F.array(*rows)))
+    rows = [(s, *(statistic(s, c) for c in columns)) for s in ("count", "min", *_QUARTILES, "max")]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def percentiles(
@@ -146,29 +104,32 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentile arrays and plain means per group, for groups that are few.
 
-    ``requested`` maps an output name to (column, fractions), ``means`` an output name to a column.
+    ``requested`` maps an output name to (column, fractions), ``means`` an output name to a column. A
+    group without values has NULL in place of an array.
     """
     wanted: dict[str, list[float]] = {}
     for column, fractions in requested.values():
         wanted.setdefault(column, []).extend(f for f in fractions if f not in wanted[column])
-    found = exact_percentiles(df, [by], wanted)
-
-    def value(column: str, fraction: float) -> Column:
-        here = (F.col("column_name") == column) & (F.col("fraction") == float(fraction))
-        return F.max(F.when(here, F.col("value")))
-
-    arrays = found.groupBy(F.col(by).alias("_by")).agg(
-        *(
-            F.array(*(value(column, f) for f in fractions))
-            .cast(ArrayType(df.schema[column].dataType))
-            .alias(name)
-            for name, (column, fractions) in requested.items()
+    averages = {name: F.avg(column) for name, column in means.items()}
+    found = selection.select_ranks(df, [by], wanted, averages)
+    schema = StructType([StructField(by, df.schema[by].dataType)])
+    for name, (column, _) in requested.items():
+        schema = schema.add(name, ArrayType(df.schema[column].dataType))
+    kinds = df.select(*(c.alias(n) for n, c in averages.items())).schema if averages else []
+    for field in kinds:
+        schema = schema.add(field)
+    rows = [
+        (
+            *group,
+            *(
+                [values[column, f] for f in fractions] if (column, fractions[0]) in values else None
+                for column, fractions in requested.values()
+            ),
+            *found.extra[group].values(),
         )
-    )
-    averages = df.groupBy(by).agg(*(F.avg(column).alias(name) for name, column in means.items()))
-    return averages.join(arrays, F.col(by).eqNullSafe(F.col("_by")), "left").select(
-        by, *requested, *means
-    )
+        for group, values in found.values.items()
+    ]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def null_and_zero_counts(df: DataFrame, by: str, column: str) -> DataFrame:
