@@ -14,10 +14,12 @@ def compare(
     keys: Sequence[str],
     measures: Mapping[str, tuple[str, str]],
     tolerance: float,
+    nulls_agree: bool = False,
 ) -> DataFrame:
     """Both results side by side per key: value left, value right, difference, ok.
 
-    Keys on one side only stay in the result and are not ok; neither is a NULL measure.
+    Keys on one side only stay in the result and are not ok; neither is a NULL measure, but for one
+    that is NULL on both sides if ``nulls_agree``.
     ``measures`` maps a name to its column on the left and on the right.
     """
     a, b = left.alias("a"), right.alias("b")
@@ -31,7 +33,8 @@ def compare(
             y.alias(f"{name}_right"),
             difference.alias(f"{name}_diff"),
         ]
-        verdicts.append(F.coalesce(difference <= tolerance, F.lit(False)))
+        both_missing = x.isNull() & y.isNull() & F.lit(nulls_agree)
+        verdicts.append(F.coalesce(difference <= tolerance, both_missing))
     ok = verdicts[0]
     for verdict in verdicts[1:]:
         ok = ok & verdict
@@ -41,6 +44,17 @@ def compare(
     )
 
 
+class ComparisonError(AssertionError):
+    """Results that should be equal and are not."""
+
+
+def require_ok(compared: DataFrame, what: str, shown: int = 20) -> None:
+    """Raise when a key of a comparison is not ok, naming some of these."""
+    broken = compared.filter(~F.col("ok")).take(shown)
+    if broken:
+        raise ComparisonError(f"{what}: " + "; ".join(str(r.asDict()) for r in broken))
+
+
 def deviation(
     actual: DataFrame,
     expected: DataFrame,

@@ -102,6 +102,12 @@ def scope_counts(df: DataFrame, by: str, total: str, name: str = "rows") -> Data
     return with_total(counts, by, total, {name: _summed("_n")})
 
 
+def added_scope_counts(counts: DataFrame, by: str, total: str, name: str) -> DataFrame:
+    """The same from kept counts in a column of that name."""
+    added = counts.groupBy(by).agg(F.sum(name).alias("_n"))
+    return with_total(added, by, total, {name: _summed("_n")})
+
+
 # --- metrics ------------------------------------------------------------------------------
 
 
@@ -121,7 +127,19 @@ def quality_metrics(
     Rows are counted per scope and reason in one pass. The input is counted as such, not added
     up from the other metrics.
     """
-    counts = classified.groupBy(names.scope, reason).agg(F.count(F.lit(1)).alias("_n"))
+    counts = classified.groupBy(names.scope, reason).agg(F.count(F.lit(1)).alias("rows"))
+    return metrics_of_counts(counts, rules, names, reason, run_ts)
+
+
+def metrics_of_counts(
+    counts: DataFrame,
+    rules: Sequence[Rule],
+    names: MetricSpec,
+    reason: str,
+    run_ts: datetime | None = None,
+) -> DataFrame:
+    """The same from (scope, reason, rows), where a row without a reason counts clean rows."""
+    counts = counts.select(names.scope, reason, F.col("rows").alias("_n"))
     values = {names.input_rows: _summed("_n")}
     values |= {r.name: _summed("_n", F.col(reason) == r.name) for r in rules}
     clean = ~F.col("_seed") & F.col(reason).isNull()
@@ -227,6 +245,14 @@ def reason_check(
     rejected: DataFrame, metrics: DataFrame, names: MetricSpec, reason: str
 ) -> DataFrame:
     """Quarantine rows per reason against the metric of that name; absent on a side counts 0."""
+    held = rejected.groupBy(reason).agg(F.count(F.lit(1)).alias("rows"))
+    return reason_check_of_counts(held, metrics, names, reason)
+
+
+def reason_check_of_counts(
+    rejected: DataFrame, metrics: DataFrame, names: MetricSpec, reason: str
+) -> DataFrame:
+    """The same from (reason, rows)."""
     stored = metrics.filter(
         (F.col(names.scope) == names.total)
         & F.col(names.metric).startswith(names.rejected_prefix)
@@ -235,10 +261,8 @@ def reason_check(
         F.lit(0).cast("long").alias("quarantine"),
         F.col(names.value).alias("metric"),
     )
-    held = (
-        rejected.groupBy(reason)
-        .agg(F.count(F.lit(1)).alias("quarantine"))
-        .withColumn("metric", F.lit(0).cast("long"))
+    held = rejected.select(
+        reason, F.col("rows").alias("quarantine"), F.lit(0).cast("long").alias("metric")
     )
     both = (
         stored.unionByName(held)

@@ -49,7 +49,10 @@ def write_partitions(
     when_empty: str = "delete",
     rebalance: bool = False,
 ) -> None:
-    """Replace exactly the target partitions and leave all others as they are.
+    """Replace exactly the target partitions and leave all others as they are; no targets, no change.
+
+    For folders that no catalog knows. A run that breaks off between the write and the removal
+    of emptied targets leaves old rows in these: tables are better kept as a ``stores.Store``.
 
     ``targets`` hold values of the leading partition columns. A target that gets no rows loses
     its old ones (or raises, with ``when_empty="raise"``). Dynamic overwrite is asked for on a
@@ -58,6 +61,8 @@ def write_partitions(
     Rows are written where they are read, without a shuffle. ``rebalance`` adds one for inputs
     whose rows are not grouped by partition; it splits partitions that are too large.
     """
+    if not targets:
+        return
     spark = df.sparkSession
     before = _one_file_per_leaf(spark, path, partition_cols, targets)
     guarded = only_targets(df, partition_cols[: len(targets[0])], targets)
@@ -74,7 +79,7 @@ def write_partitions(
     if stale and when_empty == "raise":
         raise EmptyTargetError("no rows for: " + ", ".join(sorted(stale)))
     for leaf in stale:
-        _delete(spark, leaf)
+        delete(spark, leaf)
 
 
 def overwrite(df: DataFrame, path: str) -> None:
@@ -105,7 +110,7 @@ def register_table(
     )
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'")
     location = described.first()["data_type"]
-    if _without_scheme(location) != _without_scheme(path):
+    if without_scheme(location) != without_scheme(path):
         raise ValueError(f"table {name} already lies in {location}, not in {path}")
     spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     spark.catalog.refreshTable(name)
@@ -117,7 +122,7 @@ def publish_view(
     """Create or replace a saved query; ``comments`` maps its columns to descriptions."""
     columns = ""
     if comments:
-        described = ", ".join(f"`{c}` COMMENT '{_quoted(text)}'" for c, text in comments.items())
+        described = ", ".join(f"`{c}` COMMENT '{quoted(text)}'" for c, text in comments.items())
         columns = f" ({described})"
     spark.sql(f"CREATE OR REPLACE VIEW {name}{columns} AS {query}")
 
@@ -126,12 +131,12 @@ def views_in(spark: SparkSession, schema: str) -> DataFrame:
     return spark.sql(f"SHOW VIEWS IN {schema}")
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     """Text for a SQL literal in single quotes."""
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def _without_scheme(path: str) -> str:
+def without_scheme(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/").replace("//", "/")
 
 
@@ -148,11 +153,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
     fs.delete(hadoop_path, True)
 
 
+def delete_if_empty(spark: SparkSession, path: str, below: str) -> None:
+    """Deletes folders without content, from the given one up, as far as they lie below another."""
+    while without_scheme(path).startswith(without_scheme(below) + "/"):
+        fs, hadoop_path = _file_system(spark, path)
+        if fs.exists(hadoop_path) and len(fs.listStatus(hadoop_path)):
+            return
+        fs.delete(hadoop_path, False)
+        path = path.rpartition("/")[0]
+
+
+def folders_in(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    fs, hadoop_path = _file_system(spark, path)
+    if not fs.exists(hadoop_path):
+        return []
+    found = (s.getPath() for s in fs.listStatus(hadoop_path))
+    return [p.toString() for p in found if p.getName().startswith(prefix)]
+
+
+def unescaped(spark: SparkSession):
+    """What turns a partition value in the name of a folder back into the value."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+
+
+def leaf_folders(spark: SparkSession, folder: str, levels: int) -> dict[tuple[str, ...], str]:
+    """Folders that many levels below, by the names on the way. One listing per folder."""
+    level = {(): folder}
+    for _ in range(levels):
+        with ThreadPoolExecutor(_LOOKUP_THREADS) as pool:
+            below = pool.map(lambda item: (item[0], folders_in(spark, item[1], "")), level.items())
+            level = {
+                (*way, path.rpartition("/")[2]): path
+                for way, paths in below
+                for path in paths
+                if "=" in path.rpartition("/")[2]
+            }
+    return level
+
+
 def _one_file_per_leaf(
     spark: SparkSession, path: str, partition_cols: Sequence[str], targets: Sequence[Target]
 ) -> dict[str, str]:

@@ -1,5 +1,6 @@
 """The whole run on landed files: tables, repeatability, selective runs, failures."""
 
+import os
 import uuid
 from dataclasses import replace
 from datetime import datetime
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake import taxi
-from ledgerlake.operators import conform, quality
+from ledgerlake.operators import compare, conform, quality
 from ledgerlake.plans import batch, views
 from ledgerlake.sources import landing
 from tests.frames import R1, SEVEN, land, rows
@@ -132,17 +133,83 @@ def test_drift_stops_before_any_write(spark, warehouse, tmp_path):
     assert not (tmp_path / "warehouse").exists()
 
 
-def test_rows_lost_from_storage_stop_the_run(spark, warehouse, tmp_path):
+def test_rows_lost_from_storage_are_found_by_the_audit(spark, warehouse, tmp_path):
     root = str(tmp_path / "landing")
     partitions = land(spark, root, DATASET, SEVEN)
     run(spark, warehouse, root, partitions)
-    checked = batch.checked(spark, DATASET, warehouse)
-    fewer = checked.filter("NOT (taxi_type = 'green')").collect()
-    spark.createDataFrame(fewer, checked.schema).write.mode("overwrite").partitionBy(
-        "taxi_type", "source_year_month", "outcome"
-    ).parquet(warehouse.checked_path)
-    with pytest.raises(quality.ReconciliationError, match="input is not clean plus rejected"):
-        batch.load_metrics(spark, DATASET, warehouse)
+    batch.audit(spark, DATASET, warehouse)
+    store = warehouse.checked(DATASET)
+    nothing = batch.checked(spark, DATASET, warehouse).limit(0)
+    store.replace(spark, nothing, [("green",)])
+    with pytest.raises(quality.ReconciliationError, match="are not the kept counts.*green"):
+        batch.audit(spark, DATASET, warehouse)
+
+
+def spoil(store, inside):
+    """Makes the stored files unreadable whose path holds the text."""
+    spoilt = 0
+    for folder, _, names in os.walk(store.root):
+        for name in names:
+            if name.endswith(".parquet") and inside in folder:
+                with open(os.path.join(folder, name), "wb") as file:
+                    file.write(b"spoilt")
+                spoilt += 1
+    assert spoilt
+
+
+def test_a_selective_run_reads_no_file_of_other_partitions(spark, warehouse, tmp_path):
+    root = str(tmp_path / "landing")
+    partitions = land(spark, root, DATASET, SEVEN)
+    run(spark, warehouse, root, partitions)
+    for store in (warehouse.conformed(DATASET), warehouse.checked(DATASET)):
+        spoil(store, "taxi_type=green")
+        spoil(store, "source_year_month=2023-01")
+    batch.run(
+        spark, DATASET, root, warehouse, [("yellow", "2023-05")], MONTH, check_answers=False
+    )
+    metrics = {(r.taxi_type, r.metrica): r.valor for r in table(spark, warehouse, views.METRICS).collect()}
+    assert metrics[("total", "linhas_bronze")] == 7 and metrics[("green", "linhas_gold")] == 1
+
+
+def test_nothing_is_published_when_a_check_fails(spark, warehouse, tmp_path, monkeypatch):
+    root = str(tmp_path / "landing")
+    partitions = land(spark, root, DATASET, SEVEN)
+    run(spark, warehouse, root, partitions)
+    before = snapshot(spark, warehouse)
+    land(spark, root, DATASET, [(*SEVEN[0][:3], 9, *SEVEN[0][4:])])
+
+    def broken(*_):
+        raise quality.ReconciliationError("broken")
+
+    monkeypatch.setattr(batch, "_require_consistent", broken)
+    with pytest.raises(quality.ReconciliationError, match="broken"):
+        run(spark, warehouse, root, [("yellow", "2023-04")])
+    assert snapshot(spark, warehouse) == before
+    assert warehouse.conformed(DATASET).leftovers(spark) == []
+    assert warehouse.checked(DATASET).leftovers(spark) == []
+    monkeypatch.undo()
+    run(spark, warehouse, root, [("yellow", "2023-04")])
+    assert snapshot(spark, warehouse) != before
+
+
+def test_answers_that_differ_stop_the_run(spark, warehouse, tmp_path, monkeypatch):
+    root = str(tmp_path / "landing")
+    partitions = land(spark, root, DATASET, SEVEN)
+    again = views.month_average
+    monkeypatch.setattr(
+        views, "month_average", lambda t: again(t).withColumn(taxi.MONTH_MEAN, F.col(taxi.MONTH_MEAN) + 1)
+    )
+    with pytest.raises(compare.ComparisonError, match="month_parity.*2023-04"):
+        run(spark, warehouse, root, partitions)
+
+
+def test_a_run_of_nothing_changes_nothing(spark, warehouse, tmp_path):
+    root = str(tmp_path / "landing")
+    partitions = land(spark, root, DATASET, SEVEN)
+    run(spark, warehouse, root, partitions)
+    before = snapshot(spark, warehouse)
+    run(spark, warehouse, root, [])
+    assert snapshot(spark, warehouse) == before
 
 
 def test_all_partitions():
