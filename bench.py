@@ -32,7 +32,7 @@ def full_run(spark, sf_dir: str) -> None:
     root = fresh_dir(spark, "bench")
     result = batch.run(
         spark,
-        fixtures.DATASET,
+        fixtures.landed_dataset(spark, sf_dir),
         fixtures.landing_root(spark, sf_dir),
         batch.Warehouse(root, f"bench_{root[-12:]}"),
         fixtures.landed_partitions(spark, sf_dir),

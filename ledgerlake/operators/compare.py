@@ -55,6 +55,63 @@ def require_ok(compared: DataFrame, what: str, shown: int = 20) -> None:
         raise ComparisonError(f"{what}: " + "; ".join(str(r.asDict()) for r in broken))
 
 
+def fingerprint(df: DataFrame, without: Sequence[str] = ()) -> DataFrame:
+    """One row (rows, added, mixed) that does not depend on the order of the rows.
+
+    The sum and the exclusive or of two 64-bit hashes of each row, over all columns but some. Tables
+    that differ in one row, or in how often it occurs, differ in it, up to chance.
+    """
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns) if c not in without]
+    # a NULL leaves the hash of a row as it is, so it is told by a flag beside the value
+    told = [x for c in columns for x in (c, c.isNull())]
+    first, second = F.xxhash64(*told), F.xxhash64(F.lit(1), *told)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(first.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("added"),
+        F.coalesce(F.bit_xor(second), F.lit(0)).alias("mixed"),
+    )
+
+
+def volume_at_grains(
+    counts: DataFrame, expected: DataFrame, scope: str, month: str, total: str
+) -> DataFrame:
+    """Rows per scope and month, per scope and over all, against what is expected of some of these.
+
+    ``counts`` is (scope, month, rows), ``expected`` is (scope, month, expected) at any grain: a NULL
+    month expects something of the whole scope, a NULL scope as well of all rows. Expectations need
+    not add up, nor be there for each cell: where none is, the status is UNKNOWN. An expected cell
+    without rows has 0. A NULL scope or month of ``counts`` is a value like others.
+    """
+    # cells are told apart by their grain, as NULL is a value among the finest ones
+    grain = (
+        F.when(F.col(scope).isNull(), 3).when(F.col(month).isNull(), 1).otherwise(0)
+    )
+    found = (
+        counts.rollup(scope, month)
+        .agg(F.grouping_id(scope, month).alias("_grain"), F.sum("rows").alias("rows"))
+        .select("_grain", scope, month, "rows", F.lit(None).cast("long").alias("expected"))
+    )
+    asked = expected.select(
+        grain.cast("long").alias("_grain"),
+        scope,
+        month,
+        F.lit(0).cast("long").alias("rows"),
+        F.col("expected").cast("long").alias("expected"),
+    )
+    cells = found.unionByName(asked).groupBy("_grain", scope, month)
+    known = F.col("expected").isNotNull()
+    return cells.agg(F.sum("rows").alias("rows"), F.sum("expected").alias("expected")).select(
+        F.when(F.col("_grain") == 3, F.lit(total)).otherwise(F.col(scope)).alias(scope),
+        F.when(F.col("_grain") > 0, F.lit(total)).otherwise(F.col(month)).alias(month),
+        "rows",
+        "expected",
+        F.when(known & (F.col("rows") == F.col("expected")), "OK")
+        .when(known, "DIVERGE")
+        .otherwise("UNKNOWN")
+        .alias("status"),
+    )
+
+
 def deviation(
     actual: DataFrame,
     expected: DataFrame,

@@ -367,3 +367,39 @@ def contract_check(
         *(F.count_if(F.expr(violation)).alias(name) for name, violation in guarantees.items())
     )
     return counted.unpivot(list(by), list(guarantees), "guarantee", "broken")
+
+
+def contract_witnesses(
+    df: DataFrame, guarantees: Mapping[str, str], row_id: str, most: int = 3
+) -> DataFrame:
+    """Broken rows of each guarantee with up to ``most`` of their ids: (guarantee, broken, place, witness).
+
+    The k-th witness is the id of least k-th hash among the rows that break the guarantee, so it does
+    not depend on how the rows are dealt out, takes no more memory than the hash that is least so
+    far, and comes from the scan that counts. An id may be the least by several hashes. A guarantee
+    that no row breaks has no witness: one row with a NULL place.
+    """
+    text = F.col(row_id).cast("string")
+
+    def least(violation: str, place: int) -> Column:
+        hashed = F.md5(F.concat(text, F.lit(f"#{place}")).cast("binary"))
+        return F.min(F.when(F.expr(violation), F.struct(hashed.alias("hash"), text.alias("id"))))
+
+    counted = df.agg(
+        *(
+            F.struct(
+                F.count_if(F.expr(v)).alias("broken"),
+                F.array(*(least(v, k)["id"] for k in range(1, most + 1))).alias("ids"),
+            ).alias(name)
+            for name, v in guarantees.items()
+        )
+    )
+    rows = counted.select(
+        F.inline(
+            F.array(*(F.struct(F.lit(g).alias("guarantee"), F.col(f"`{g}`").alias("found")) for g in guarantees))
+        )
+    )
+    ids = F.filter("found.ids", lambda i: i.isNotNull())
+    return rows.select("guarantee", "found.broken", F.posexplode_outer(ids).alias("place", "witness")).withColumn(
+        "place", F.col("place") + 1
+    )

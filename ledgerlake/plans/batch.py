@@ -125,7 +125,8 @@ def check_landing(
     """
     grid = landing.requested_grid(spark, partitions)
     expected = landing.manifest(grid, dataset.layout, landing_root)
-    sizes = landing.source_sizes(landing.listing(spark, landing_root), dataset.layout).cache()
+    listed = landing.requested_listing(spark, expected)
+    sizes = landing.source_sizes(listed, dataset.layout).cache()
     try:
         landing.require_all(expected, sizes)
         # totals are known for the declared months; others of the run are not judged by them

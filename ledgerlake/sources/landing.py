@@ -6,6 +6,7 @@ Everything works on small listings (one row per monthly source), never on file c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.spec import Layout
 
+_LOOKUP_THREADS = 16
 SKIP = "skip"
 REFRESH = "refresh"
 
@@ -66,8 +68,8 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Path and size of each file below ``root``. The contents are not read.
+def listing(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Path and size of each file below ``root``, or below several. The contents are not read.
 
     A file of zero bytes is not listed, so it counts as absent: there is nothing in it to load.
     Listed sizes would spread the files over one task per 128 MB although only file status is
@@ -77,6 +79,25 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length").coalesce(spark.sparkContext.defaultParallelism)
 
 
+def requested_listing(spark: SparkSession, expected: DataFrame) -> DataFrame:
+    """The same for the paths of a manifest only, wherever else files lie below the root.
+
+    The driver asks once for each requested path whether it is there; Spark lists what lies below
+    them, as a distributed job where they are many.
+    """
+    paths = [row["path"] for row in expected.select("path").distinct().collect()]
+
+    def there(path: str) -> bool:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+    with ThreadPoolExecutor(_LOOKUP_THREADS) as pool:
+        found = sorted(p for p, is_there in zip(paths, pool.map(there, paths), strict=True) if is_there)
+    if not found:
+        return spark.createDataFrame([], "path string, length long")
+    return listing(spark, found)
+
+
 def source_sizes(files: DataFrame, layout: Layout) -> DataFrame:
     """Bytes per landed source, adding up the part files of a folder."""
     pattern = layout.pattern()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import taxi
 from ledgerlake.functions.timeparts import month_sql
 from ledgerlake.operators import answers, compare
-from ledgerlake.plans import views
+from ledgerlake.plans import batch, sinks, views
+from ledgerlake.session import fresh_dir
 from ledgerlake.suite import fixtures
 from ledgerlake.suite.sqltext import events as over_events
 from ledgerlake.suite.sqltext import trips as over_trips
@@ -150,6 +153,37 @@ def benchmark_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def idempotence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all stored tables before and after loading every source once more."""
+    root = fresh_dir(spark, "repeated")
+    warehouse = batch.Warehouse(root, f"again_{root[-12:]}")
+    dataset = fixtures.DATASET
+    stored = {
+        "conformed": (warehouse.conformed(dataset), [taxi.LOADED_AT]),
+        "checked": (warehouse.checked(dataset), []),
+        "counts": (warehouse.counts(dataset), []),
+        "metrics": (warehouse.metrics(dataset), [taxi.METRICS.run_ts]),
+    }
+
+    def load() -> DataFrame:
+        sources = fixtures.landed_partitions(spark, sf_dir)
+        batch.load(spark, dataset, fixtures.landing_root(spark, sf_dir), warehouse, sources)
+        found = [
+            compare.fingerprint(store.read(spark), without).select(F.lit(name).alias("stored"), "*")
+            for name, (store, without) in stored.items()
+        ]
+        # a few rows, taken before the next load replaces what they tell of
+        told = reduce(DataFrame.unionByName, found)
+        return spark.createDataFrame(told.collect(), told.schema)
+
+    sinks.create_schema(spark, warehouse.schema)
+    first, second = load(), load()
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("rows", "added", "mixed")]
+    return first.alias("a").join(second.alias("b"), "stored", "full").select(
+        "stored", "a.rows", reduce(lambda x, y: x & y, same).alias("same")
+    )
+
+
 def ablation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = fixtures.WINDOW
     in_window = (
@@ -188,6 +222,7 @@ QUERIES = {
     "benchmark_deviation": _sorted(benchmark_deviation, taxi.PICKUP_MONTH),
     "ablation_month": ablation_month,
     "month_growth": month_growth,
+    "idempotence": idempotence,
     "full_run_month": _sorted(full_run_month, taxi.PICKUP_MONTH),
     "full_run_hour": _sorted(full_run_hour, taxi.SCOPE, taxi.PICKUP_HOUR),
 }
@@ -283,6 +318,14 @@ ORACLES = {
       / min_by(media_total_amount, pickup_year_month) - 1) * 100, 2) AS growth_pct FROM answer""",
         f"""answer AS ({_BY_MONTH})""",
     ),
+    "idempotence": over_trips(
+        """SELECT 'conformed' AS stored, count(*) AS rows, true AS same FROM trips
+  UNION ALL SELECT 'checked', count(*), true FROM trips
+  UNION ALL SELECT 'counts', count(*), true FROM (
+    SELECT DISTINCT taxi_type, source_year_month, 'input' AS kind, NULL AS reason FROM trips
+    UNION ALL SELECT DISTINCT taxi_type, source_year_month, 'split', dq_regra_violada FROM classified)
+  UNION ALL SELECT 'metrics', count(*), true FROM metrics"""
+    ),
     "full_run_month": over_trips(_BY_MONTH),
     "full_run_hour": over_trips(_by_hour(fixtures.HOUR_MONTH)),
 }

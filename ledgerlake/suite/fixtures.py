@@ -171,6 +171,21 @@ def landed_partitions(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]
     return _once(spark, sf_dir, "partitions", find)
 
 
+def landed_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The declaration with the months and bytes that were landed, so that a full run judges them."""
+
+    def look_up() -> Dataset:
+        listed = landing.listing(spark, landing_root(spark, sf_dir))
+        sizes = landing.source_sizes(listed, LAYOUT)
+        totals = sizes.groupBy("scope").agg(F.sum("local_bytes").alias("bytes")).collect()
+        months = sorted({m for _, m in landed_partitions(spark, sf_dir)})
+        return replace(
+            DATASET, months=tuple(months), expected_bytes={r["scope"]: r["bytes"] for r in totals}
+        )
+
+    return _once(spark, sf_dir, "dataset", look_up)
+
+
 def landed_sources(spark: SparkSession, sf_dir: str) -> list[files.LandedSource]:
     """Sources of the landing folder with their footer schemas; landed files never change."""
 
@@ -189,7 +204,7 @@ def stored(spark: SparkSession, sf_dir: str) -> batch.Warehouse:
         warehouse = batch.Warehouse(root, f"run_{root[-12:]}")
         batch.run(
             spark,
-            DATASET,
+            landed_dataset(spark, sf_dir),
             landing_root(spark, sf_dir),
             warehouse,
             landed_partitions(spark, sf_dir),

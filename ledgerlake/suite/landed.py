@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,79 @@ def landing_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.integrity(files, totals).withColumnRenamed("scope", taxi.FLEET)
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed sources with their listed bytes and declared ones: some absent, unknown or changed.
+
+    What is declared is the size that the files had when they were landed, which the listing of the
+    whole folder tells; what is there is the listing of the requested paths.
+    """
+    root = fixtures.landing_root(spark, sf_dir)
+    declared = _sizes(spark, sf_dir).select(
+        "scope",
+        "month",
+        F.when(F.col("month") == _UNKNOWN, None)
+        .when(F.col("month") == _CHANGED, F.col("local_bytes") + 1)
+        .otherwise(F.col("local_bytes"))
+        .alias("expected_bytes"),
+    )
+    requested = _month_grid(spark, sf_dir, 0).join(declared, ["scope", "month"], "left_semi")
+    manifest = landing.manifest(requested, fixtures.LAYOUT, root)
+    held_back = landing.requested_listing(spark, manifest.filter(F.col("month") != _ABSENT))
+    there = landing.source_sizes(held_back, fixtures.LAYOUT)
+    return landing.inventory(manifest, there).join(declared, ["scope", "month"])
+
+
+def landed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on landed files by their real sizes."""
+    decided = landing.refresh_decisions(_listed(spark, sf_dir), "local_bytes", "expected_bytes")
+    return decided.select(
+        "scope", "month", "file", F.col("local_bytes").isNotNull().alias("landed"), "status"
+    ).withColumnsRenamed(_NAMES)
+
+
+def landed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by decision, and whether their bytes are those of a listing of the whole folder."""
+    decided = landing.refresh_decisions(_listed(spark, sf_dir), "local_bytes", "expected_bytes")
+    summary = landing.outcome_summary(decided, "local_bytes")
+    whole = _sizes(spark, sf_dir).filter(F.col("month") != _ABSENT)
+    again = whole.select(
+        F.when(F.col("month").isin(_UNKNOWN, _CHANGED), landing.REFRESH)
+        .otherwise(landing.SKIP)
+        .alias("status"),
+        F.col("local_bytes").alias("again"),
+    )
+    told = again.groupBy("status").agg(F.sum("again").alias("again"))
+    return summary.join(told, "status").select(
+        "status", "files", (F.col("bytes") == F.col("again")).alias("bytes_as_listed")
+    )
+
+
+def landed_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fleets by real bytes: as landed, with a source held back, and with a wrong total."""
+    root = fixtures.landing_root(spark, sf_dir)
+    requested = _month_grid(spark, sf_dir, 0).join(_sizes(spark, sf_dir), ["scope", "month"], "left_semi")
+    manifest = landing.manifest(requested, fixtures.LAYOUT, root)
+    files = landing.inventory(
+        manifest, landing.source_sizes(landing.requested_listing(spark, manifest), fixtures.LAYOUT)
+    )
+    totals = files.groupBy("scope").agg(F.sum("local_bytes").alias("expected_bytes"))
+    cases = {
+        "as_landed": (files, totals),
+        "held_back": (
+            files.withColumn("local_bytes", F.when(F.col("month") != _ABSENT, F.col("local_bytes"))),
+            totals,
+        ),
+        "other_total": (files, totals.withColumn("expected_bytes", F.col("expected_bytes") + 1)),
+    }
+    checked = [
+        landing.integrity(f, t).select(
+            F.lit(case).alias("case"), F.col("scope").alias(taxi.FLEET), "files", "missing_files", "intact"
+        )
+        for case, (f, t) in cases.items()
+    ]
+    return reduce(DataFrame.unionByName, checked)
+
+
 _GRID = """grid AS (SELECT taxi_type, strftime(unnest(generate_series(
     CAST(min(source_year_month) || '-01' AS TIMESTAMP),
     CAST(max(source_year_month) || '-01' AS TIMESTAMP) + {ahead} * INTERVAL '1' MONTH,
@@ -124,6 +199,9 @@ QUERIES = {
     "landing_refresh": landing_refresh,
     "landing_integrity": landing_integrity,
     "landing_summary": landing_summary,
+    "landed_refresh": landed_refresh,
+    "landed_summary": landed_summary,
+    "landed_integrity": landed_integrity,
 }
 
 ORACLES = {
@@ -151,6 +229,24 @@ ORACLES = {
   FROM decided GROUP BY status""",
         _LISTING,
     ),
+    "landed_refresh": over_trips(
+        f"""SELECT taxi_type, source_year_month, {_FILE} AS file,
+    local_bytes IS NOT NULL AS landed, status FROM decided""",
+        _LISTING,
+    ),
+    "landed_summary": over_trips(
+        "SELECT status, count(*) AS files, true AS bytes_as_listed FROM decided GROUP BY status",
+        _LISTING,
+    ),
+    "landed_integrity": over_trips(
+        f"""SELECT "case", taxi_type, files,
+    CASE WHEN "case" = 'held_back' THEN absent ELSE 0 END AS missing_files,
+    "case" = 'as_landed' OR ("case" = 'held_back' AND absent = 0) AS intact
+  FROM sources CROSS JOIN (VALUES ('as_landed'), ('held_back'), ('other_total')) AS c("case")""",
+        f"""sources AS (SELECT taxi_type, count(DISTINCT source_year_month) AS files,
+    count(DISTINCT source_year_month) FILTER (source_year_month = '{_ABSENT}') AS absent
+    FROM trips GROUP BY taxi_type)""",
+    ),
     "landing_integrity": over_trips(
         """SELECT taxi_type, files, missing_files, local_bytes, expected_bytes,
     coalesce(missing_files = 0 AND local_bytes = expected_bytes, false) AS intact

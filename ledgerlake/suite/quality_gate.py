@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlake import taxi
 from ledgerlake.operators import quality
 from ledgerlake.plans import views
+from ledgerlake.spec import OutputColumn
 from ledgerlake.suite import fixtures
 from ledgerlake.suite.sqltext import R1, R2, R3, R4
 from ledgerlake.suite.sqltext import trips as over_trips
@@ -119,6 +120,18 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract_check(rows, taxi.guarantees(fixtures.WINDOW), ["is_clean"])
 
 
+def contract_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items whose trips break a guarantee of clean rows, some by name."""
+    items = fixtures.table(spark, sf_dir, "lineitem").selectExpr(
+        "*", "concat_ws('-', l_orderkey, l_linenumber) AS item"
+    )
+    rows = spark.sql(fixtures.TRIPS.replace("SELECT ", "SELECT item, ", 1), lineitem=items)
+    marked = quality.classify(rows, fixtures.DATASET.rules, fixtures.DATASET.violated_rule)
+    output = fixtures.DATASET.clean.plus(OutputColumn("item", "string"))
+    published = quality.project(marked, output)
+    return quality.contract_witnesses(published, taxi.guarantees(fixtures.WINDOW), "item")
+
+
 QUERIES = {
     "rule_window": _rule("window"),
     "rule_order": _rule("order"),
@@ -140,6 +153,7 @@ QUERIES = {
     "dq_reason_by_source": dq_reason_by_source,
     "dq_quarantine_count": dq_quarantine_count,
     "contract_check": contract_check,
+    "contract_witnesses": contract_witnesses,
 }
 
 
@@ -197,7 +211,25 @@ _CONTRACT_COUNTS = ", ".join(
     f"count(*) FILTER ({condition}) AS {name}" for name, condition in _CONTRACT.items()
 )
 
+_ITEM_TRIPS = fixtures.TRIPS.replace(
+    "SELECT ", "SELECT l_orderkey || '-' || l_linenumber AS item, ", 1
+).format(lineitem="lineitem")
+_WITNESSES = f"""WITH published AS (SELECT item, VendorID, passenger_count, total_amount,
+    tpep_pickup_datetime, tpep_dropoff_datetime, taxi_type,
+    strftime(tpep_pickup_datetime, '%Y-%m') AS pickup_year_month,
+    CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour FROM ({_ITEM_TRIPS})),
+  found AS ({" UNION ALL ".join(
+    f"SELECT '{name}' AS guarantee, count(*) FILTER ({condition}) AS broken, "
+    + ", ".join(f"arg_min(item, md5(item || '#{k}')) FILTER ({condition}) AS w{k}" for k in (1, 2, 3))
+    + " FROM published"
+    for name, condition in _CONTRACT.items()
+  )})
+  SELECT guarantee, broken, CASE WHEN broken > 0 THEN place END AS place,
+    CASE place WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END AS witness
+  FROM found CROSS JOIN (VALUES (1), (2), (3)) AS p(place) WHERE broken > 0 OR place = 1"""
+
 ORACLES = {
+    "contract_witnesses": _WITNESSES,
     "rule_window": _broken(_OUTSIDE),
     "rule_order": _broken(
         "tpep_dropoff_datetime IS NULL OR tpep_dropoff_datetime <= tpep_pickup_datetime"

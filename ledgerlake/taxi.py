@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import rules as violations
@@ -192,6 +193,16 @@ def dataset(
     )
 
 
+def expected_volumes(spark: SparkSession) -> DataFrame:
+    """Published row counts at the grain they are known: yellow by month, green as a whole, all."""
+    months = [(f, m, n) for (f, m), n in EXPECTED_ROWS.items()]
+    fleets = [(f, None, n) for f, n in EXPECTED_FLEET_ROWS.items()]
+    everything = (None, None, sum(EXPECTED_ROWS.values()) + sum(EXPECTED_FLEET_ROWS.values()))
+    return spark.createDataFrame(
+        [*months, *fleets, everything], f"{FLEET} string, {FILE_MONTH} string, expected long"
+    )
+
+
 def guarantees(window: Sequence[str] = WINDOW, fleets: Sequence[str] = FLEETS) -> dict[str, str]:
     """What every published clean row must satisfy, as violation texts by name."""
     start, end = window
