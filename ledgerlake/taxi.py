@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.functions import rules as violations
 from ledgerlake.functions.timeparts import hour_sql, month_sql
 from ledgerlake.spec import (
     Alias,
@@ -83,6 +82,17 @@ RULE_NAMES = {
     "nonnegative": "removidas_r3_total_amount_negativo",
     "positive": "removidas_r4_passenger_count_invalido",
 }
+# What breaks each rule, as the data contract words it; {start} and {end} bound the window.
+RULE_VIOLATIONS = {
+    "window": (
+        "tpep_pickup_datetime IS NULL"
+        " OR tpep_pickup_datetime < TIMESTAMP_NTZ '{start}'"
+        " OR tpep_pickup_datetime >= TIMESTAMP_NTZ '{end}'"
+    ),
+    "order": "tpep_dropoff_datetime IS NULL OR tpep_dropoff_datetime <= tpep_pickup_datetime",
+    "nonnegative": "total_amount IS NULL OR total_amount < 0",
+    "positive": "passenger_count IS NULL OR passenger_count <= 0",
+}
 METRICS = MetricSpec(
     input_rows="linhas_bronze",
     clean_rows="linhas_gold",
@@ -142,15 +152,15 @@ def sources(capital_fee_since: str = "2023-02") -> dict[str, SourceSpec]:
     }
 
 
-def quality_rules(window: Sequence[str] = WINDOW) -> tuple[Rule, ...]:
-    """The four rules in their order for a pickup window [start, end)."""
+def violations(window: Sequence[str] = WINDOW) -> dict[str, str]:
+    """The violation texts for a pickup window [start, end)."""
     start, end = window
-    return (
-        Rule(RULE_NAMES["window"], violations.outside_window(PICKUP, start, end)),
-        Rule(RULE_NAMES["order"], violations.not_after(DROPOFF, PICKUP)),
-        Rule(RULE_NAMES["nonnegative"], violations.negative("total_amount")),
-        Rule(RULE_NAMES["positive"], violations.not_positive("passenger_count")),
-    )
+    return {rule: text.format(start=start, end=end) for rule, text in RULE_VIOLATIONS.items()}
+
+
+def quality_rules(window: Sequence[str] = WINDOW) -> tuple[Rule, ...]:
+    """The four rules in their order."""
+    return tuple(Rule(RULE_NAMES[rule], text) for rule, text in violations(window).items())
 
 
 CLEAN = OutputSpec(
@@ -205,15 +215,15 @@ def expected_volumes(spark: SparkSession) -> DataFrame:
 
 def guarantees(window: Sequence[str] = WINDOW, fleets: Sequence[str] = FLEETS) -> dict[str, str]:
     """What every published clean row must satisfy, as violation texts by name."""
-    start, end = window
+    broken = violations(window)
     domain = ", ".join(f"'{f}'" for f in fleets)
     never_null = {f"{c}_not_null": f"{c} IS NULL" for c in CLEAN.names}
     return {
         **never_null,
-        "pickup_in_window": violations.outside_window(PICKUP, start, end),
-        "dropoff_after_pickup": violations.not_after(DROPOFF, PICKUP),
-        "amount_not_negative": violations.negative("total_amount"),
-        "passengers_positive": violations.not_positive("passenger_count"),
+        "pickup_in_window": broken["window"],
+        "dropoff_after_pickup": broken["order"],
+        "amount_not_negative": broken["nonnegative"],
+        "passengers_positive": broken["positive"],
         "fleet_in_domain": f"NOT coalesce({FLEET} IN ({domain}), false)",
         "hour_in_day": f"NOT coalesce({PICKUP_HOUR} BETWEEN 0 AND 23, false)",
         "month_matches_pickup": f"NOT ({PICKUP_MONTH} <=> {month_sql(PICKUP)})",
