@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,22 +157,21 @@ def landed_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = landing.inventory(
         manifest, landing.source_sizes(landing.requested_listing(spark, manifest), fixtures.LAYOUT)
     )
-    totals = files.groupBy("scope").agg(F.sum("local_bytes").alias("expected_bytes"))
-    cases = {
-        "as_landed": (files, totals),
-        "held_back": (
-            files.withColumn("local_bytes", F.when(F.col("month") != _ABSENT, F.col("local_bytes"))),
-            totals,
-        ),
-        "other_total": (files, totals.withColumn("expected_bytes", F.col("expected_bytes") + 1)),
-    }
-    checked = [
-        landing.integrity(f, t).select(
-            F.lit(case).alias("case"), F.col("scope").alias(taxi.FLEET), "files", "missing_files", "intact"
-        )
-        for case, (f, t) in cases.items()
-    ]
-    return reduce(DataFrame.unionByName, checked)
+    cases = F.explode(F.array(*(F.lit(c) for c in ("as_landed", "held_back", "other_total"))))
+    each = files.withColumn("case", cases).withColumn("scope", F.concat_ws("/", "case", "scope"))
+    held_back = (F.col("case") == "held_back") & (F.col("month") == _ABSENT)
+    totals = each.groupBy("scope", "case").agg(F.sum("local_bytes").alias("bytes"))
+    known = totals.select(
+        "scope", (F.col("bytes") + (F.col("case") == "other_total").cast("int")).alias("expected_bytes")
+    )
+    there = each.withColumn("local_bytes", F.when(~held_back, F.col("local_bytes")))
+    return landing.integrity(there, known).select(
+        F.substring_index("scope", "/", 1).alias("case"),
+        F.substring_index("scope", "/", -1).alias(taxi.FLEET),
+        "files",
+        "missing_files",
+        "intact",
+    )
 
 
 _GRID = """grid AS (SELECT taxi_type, strftime(unnest(generate_series(

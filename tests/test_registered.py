@@ -14,6 +14,11 @@ SEVERAL_SCANS = {
     "landing_inventory": 2,
     "landing_missing": 2,
     "landing_integrity": 3,
+    # two of these are listings of files and their sizes, the rest the trips' months
+    "landed_refresh": 4,
+    "landed_summary": 5,
+    "landed_integrity": 6,
+    "volume_mixed_grain": 2,
     "conform_rename": 3,
     "conform_fill": 3,
     "conform_cast": 3,
