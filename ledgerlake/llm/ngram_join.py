@@ -15,12 +15,16 @@ any order gives the same result, so a table of the most frequent ones will do.
 It is done in rounds. The first ones take a few shingles of least hash of each set, which similar
 sets share with high chance, and keep, per group, a forest of likely pairs; these are compared and
 give provisional components, which already hold nearly all copies together. The last round takes all
-prefix shingles, and only groups in which different components still meet. No pair between different
-components is left out in the last round.
-
-Links lie within components, so they are looked for when these are known: every class of a component
-is compared exactly with every other one that is near enough in size, in blocks. Where only numbers of
-links are wanted, each task sums them up and no pairs are stored.
+prefix shingles, and only groups in which different components still meet. What its walks can't
+exclude is not passed on pair by pair, as a group of near copies has a square of these: each walk gives
+a forest over the components that it found near each other, one row per component at most. Components
+tied together in this way, directly or through others, are a family. Every link lies within a
+family.
+
+Families are then compared exactly: every class with every other one that is near enough in size, in
+blocks that hold their shingles. A block gives, per class, the number of documents it is linked with
+and its root in a forest of the block's links; the forests make the final components. No
+pairs are stored, unless the links themselves are asked for.
 """
 
 from __future__ import annotations
@@ -213,69 +217,122 @@ def _groups(entries: DataFrame, share: int) -> DataFrame:
     return _meeting(banded, ["token", "band"], alike=True)
 
 
+def _column(column: pa.Array, of: str, binary: str):
+    """Numbers as an array, bitmaps or shingles as views of the batch's bytes."""
+    if of != binary:
+        return column.to_numpy(zero_copy_only=False)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).tolist()
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [data[a:b].view(_U) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _runs(batches, keys: list[str], names: list[str], binary: str):
+    """Consecutive rows with the same keys, as columns; only the rows of one run are held."""
+    held: dict[str, list] = {}
+    of = None
+
+    def whole():
+        return {
+            c: [x for part in parts for x in part] if c == binary else np.concatenate(parts)
+            for c, parts in held.items()
+        }
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for mark in marks:
+            new[1:] |= mark[1:] != mark[:-1]
+        starts = np.flatnonzero(new).tolist()
+        columns = {c: _column(batch[c], c, binary) for c in names}
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(mark[a] for mark in marks)
+            if key != of:
+                if of is not None:
+                    yield whole()
+                held, of = {c: [] for c in names}, key
+            for c, values in columns.items():
+                held[c].append(values[a:b])
+    if of is not None:
+        yield whole()
+    pa.default_memory_pool().release_unused()
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the smallest one that the edges (i, j) tie it to."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return root
+
+
 def _walk(share: int, forest: bool):
-    """Runs of rows of one group (and pair of blocks) become candidate pairs (a, b)."""
+    """Runs of rows of one group (and pair of blocks) become rows (a, b).
 
-    def pairs(run: dict[str, list]):
-        if len(run["rep"]) < 2 or min(run["comp"]) == max(run["comp"]):
+    With `forest` these are pairs of sets, each set with its likeliest partner; else every component
+    that is near another one with its root among the components tied to each other here.
+    """
+    names = ["rep", "n", "comp", "bits", "side", "across"]
+
+    def pairs(run):
+        comp = run["comp"]
+        if len(comp) < 2 or comp.min() == comp.max():
             return None
-        maps = [np.frombuffer(x, _U) for x in run["bits"]]
-        words = min(map(len, maps))
-        maps = np.stack([fold(x, words) for x in maps])
-        sizes, comp, rep = (np.array(run[c], np.int64) for c in ("n", "comp", "rep"))
-        side = np.array(run["side"], np.int64)
+        words = min(map(len, run["bits"]))
+        maps = np.stack([fold(x, words) for x in run["bits"]])
+        sizes, rep, side = run["n"], run["rep"], run["side"]
         trees, of = [], []
         for s in (0, 1):
             mine = np.flatnonzero(side == s)
             mine = mine[np.lexsort((rep[mine], sizes[mine], comp[mine]))]
             of.append(mine)
             trees.append(Tree(maps[mine], sizes[mine], comp[mine]) if len(mine) else None)
-        if trees[0] is None or (trees[1] is None and run["across"][0]):
+        across = bool(run["across"][0])
+        if trees[0] is None or (trees[1] is None and across):
             return None
-        x, y = (trees[0], trees[1]) if run["across"][0] else (trees[0], trees[0])
+        x, y = (trees[0], trees[1]) if across else (trees[0], trees[0])
         i, j = dual_traversal(x, y, share)
-        p, q = of[0][i], of[1 if run["across"][0] else 0][j]
-        if forest and len(p):
-            common = np.zeros(len(p), np.int64)
-            for at in range(0, len(p), 4096):
-                s = slice(at, at + 4096)
-                common[s] = np.bitwise_count(maps[p[s]] & maps[q[s]]).sum(1, dtype=np.int64)
-            # per set its likeliest partner among those before it
-            order = np.lexsort((p, -common / (sizes[p] + sizes[q]), q))
-            first = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
-            p, q = p[first], q[first]
-        return rep[p], rep[q]
+        p, q = of[0][i], of[1 if across else 0][j]
+        if not len(p):
+            return None
+        if not forest:
+            named, at = np.unique(comp, return_inverse=True)
+            root = _roots(len(named), at[p], at[q])
+            tied = np.flatnonzero(root != np.arange(len(named)))
+            return named[root[tied]], named[tied]
+        common = np.zeros(len(p), np.int64)
+        for at in range(0, len(p), 4096):
+            s = slice(at, at + 4096)
+            common[s] = np.bitwise_count(maps[p[s]] & maps[q[s]]).sum(1, dtype=np.int64)
+        # per set its likeliest partner among those before it
+        order = np.lexsort((p, -common / (sizes[p] + sizes[q]), q))
+        first = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+        p, q = p[first], q[first]
+        return np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])
 
     def walk(batches):
-        names = ["rep", "n", "comp", "bits", "side", "across"]
-        run, of = {c: [] for c in names}, None
-        for batch in batches:
-            keys = list(zip(*(batch[c].to_pylist() for c in ("token", "band", "s", "t")), strict=True))
-            columns = [batch[c].to_pylist() for c in names]
-            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for a, b in zip(starts[:-1], starts[1:], strict=True) if keys else ():
-                if keys[a] != of:
-                    if of is not None and (found := pairs(run)):
-                        yield batch_of(*found)
-                    run, of = {c: [] for c in names}, keys[a]
-                for c, values in zip(names, columns, strict=True):
-                    run[c] += values[a:b]
-        if of is not None and (found := pairs(run)):
-            yield batch_of(*found)
-
-    def batch_of(a, b):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-        )
+        for run in _runs(batches, ["token", "band", "s", "t"], names, "bits"):
+            if found := pairs(run):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
     return walk
 
 
 def _candidates(entries: DataFrame, sets: DataFrame, share: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of sets of different components that may be similar.
+    """Distinct pairs (a, b), a < b: of sets of different components, or of the components themselves.
 
     A large group is cut into blocks by a hash of group and set. With `forest`, blocks are walked
-    alone and give one pair per set at most; else every two blocks are walked against each other.
+    alone and give one pair of sets per set at most; else every two blocks are walked against each
+    other, and give a forest over the components that may be linked.
     """
     found = _groups(entries, share).withColumn("blocks", F.ceil(F.col("in_group") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("token", "rep"), F.col("blocks")).cast("int")
@@ -385,15 +442,17 @@ def _in_common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(share: int, listed: bool):
-    """Runs of rows of one pair of blocks become links (a, b, common), or links per set (rep, links)."""
+    """Runs of rows of one pair of blocks become links (a, b, common), or rows (rep, links, root).
+
+    links is the number of documents that a set is linked with in this run, root the least set that
+    the links of this run tie it to.
+    """
     names = ["rep", "copies", "guest", "tokens", "side", "across"]
 
-    def links(run: dict[str, list]):
-        side = np.array(run["side"], np.int64)
-        across = bool(run["across"][0])
-        rep, copies = np.array(run["rep"], np.int64), np.array(run["copies"], np.int64)
-        guest = np.array(run["guest"], bool)
-        sets = [np.frombuffer(x, _U) for x in run["tokens"]]
+    def links(run):
+        side, across = run["side"], bool(run["across"][0])
+        rep, copies, guest = run["rep"], run["copies"], run["guest"].astype(bool)
+        sets = run["tokens"]
         size = np.array([len(x) for x in sets], np.int64)
         p = np.flatnonzero(side == 0)
         q = np.flatnonzero(side == 1) if across else p
@@ -405,48 +464,42 @@ def _compare(share: int, listed: bool):
         ok &= ~(guest[p][:, None] & guest[q][None, :])
         if not across:
             np.fill_diagonal(ok, False)
+        i, j = np.nonzero(ok if across else np.triu(ok))
         if listed:
-            i, j = np.nonzero(ok if across else np.triu(ok))
             a, b = rep[p[i]], rep[q[j]]
             return np.minimum(a, b), np.maximum(a, b), common[i, j]
-        of_p = ok.astype(np.int64) @ copies[q]
-        if not across:
-            return rep[p], of_p
-        return np.concatenate([rep[p], rep[q]]), np.concatenate([of_p, ok.T.astype(np.int64) @ copies[p]])
+        if not len(i):
+            return None
+        total = np.zeros(len(rep), np.int64)
+        np.add.at(total, p[i], copies[q[j]])
+        np.add.at(total, q[j], copies[p[i]])
+        order = np.argsort(rep, kind="stable")
+        place = np.empty(len(rep), np.int64)
+        place[order] = np.arange(len(rep))
+        root = rep[order][_roots(len(rep), place[p[i]], place[q[j]])][place]
+        some = np.flatnonzero(total)
+        return rep[some], total[some], root[some]
 
     def compare(batches):
-        run, of = {c: [] for c in names}, None
-        for batch in batches:
-            keys = list(zip(*(batch[c].to_pylist() for c in ("comp", "band", "s", "t")), strict=True))
-            columns = [batch[c].to_pylist() for c in names]
-            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for a, b in zip(starts[:-1], starts[1:], strict=True) if keys else ():
-                if keys[a] != of:
-                    if of is not None and (found := links(run)):
-                        yield batch_of(found)
-                    run, of = {c: [] for c in names}, keys[a]
-                for c, values in zip(names, columns, strict=True):
-                    run[c] += values[a:b]
-        if of is not None and (found := links(run)):
-            yield batch_of(found)
-
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in found], names=["a", "b", "common"] if listed else ["rep", "links"]
-        )
+        for run in _runs(batches, ["comp", "band", "s", "t"], names, "tokens"):
+            if found := links(run):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in found],
+                    names=["a", "b", "common"] if listed else ["rep", "links", "root"],
+                )
 
     return compare
 
 
-def _links(classed: DataFrame, df: DataFrame, words: int, share: int, listed: bool) -> DataFrame:
-    """Links between classes: (a, b, common), a < b, or (rep, links), the documents linked by them.
+def _links(classes: DataFrame, df: DataFrame, words: int, share: int, listed: bool) -> DataFrame:
+    """Links between classes (rep, n, copies, family): (a, b, common), a < b, or (rep, links, root).
 
-    A component too large for one block is taken by bands of sizes, as in `_groups`; there a class is a
+    A family too large for one block is taken by bands of sizes, as in `_groups`; there a class is a
     guest in the band above its own.
     """
     width = 1.001 * float(np.log(100 / min(share, 99)))
     own = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    light = classed.select("rep", "n", "copies", F.col("component_id").alias("comp"))
+    light = classes.select("rep", "n", "copies", F.col("family").alias("comp"))
     needed = F.ceil(
         F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_TOKENS))
     ).cast("int")
@@ -485,23 +538,24 @@ def _links(classed: DataFrame, df: DataFrame, words: int, share: int, listed: bo
     rows = found.join(_shingles_of(ids, df, words).withColumnRenamed("id", "rep"), "rep").select(
         *key, "rep", "copies", "guest", "tokens", "side", "across"
     )
-    compared = (
+    return (
         rows.repartition(*key)
         .sortWithinPartitions(*key)
         .mapInArrow(
-            _compare(share, listed), "a long, b long, common long" if listed else "rep long, links long"
+            _compare(share, listed), "a long, b long, common long" if listed else "rep long, links long, root long"
         )
     )
-    return compared if listed else compared.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
 _CLASS = ["k1", "k2", "n"]
 
 
-def _classed(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, k1, k2 of every row, and the classes of equal sets that are not empty.
+def _families(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n, k1, k2 of every row; the classes of equal sets that are not empty; and known ties.
 
-    A class has its least doc_id (rep), the number of its documents (copies) and its component_id.
+    A class has its least doc_id (rep), the number of its documents (copies), its provisional component
+    (comp) and its family, within which all its links lie. Ties (a, b) are the links behind the
+    provisional components.
     """
     rows = cut(_checksums(df, words))
     named = (
@@ -528,13 +582,19 @@ def _classed(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFram
             "comp", F.coalesce("component", "rep")
         )
         edges = edges.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    left = _candidates(entries(F.col("prefix"), parts), sets, share, forest=False)
-    more = _similar(left, df, words, share)
-    final = components(edges.unionByName(more)).withColumnRenamed("node", "rep")
-    return rows, cut(
-        sets.select(*_CLASS, "rep", "copies")
-        .join(final, "rep", "left")
-        .select(*_CLASS, "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
+    near = _candidates(entries(F.col("prefix"), parts), sets, share, forest=False)
+    families = components(near).select(F.col("node").alias("comp"), F.col("component").alias("family"))
+    classes = parts.join(families, "comp", "left").select(
+        *_CLASS, "rep", "copies", "comp", F.coalesce("family", "comp").alias("family")
+    )
+    return rows, cut(classes), edges
+
+
+def _with_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds component_id, the least set that the edges (a, b) tie a class to."""
+    final = components(edges).withColumnRenamed("node", "rep")
+    return classes.join(final, "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop(
+        "component"
     )
 
 
@@ -562,8 +622,11 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
     expected to repeat its text. A NULL doc_id gives a row with the component of its equals, or
     NULL. An empty table gives an empty result; other columns are ignored.
     """
-    rows, classed = _classed(df, words, share)
-    linked = classed.join(_links(classed, df, words, share, listed=False), "rep", "left")
+    rows, classes, edges = _families(df, words, share)
+    found = cut(_links(classes, df, words, share, listed=False))
+    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    edges = edges.unionByName(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    linked = _with_components(classes, edges).join(counted, "rep", "left")
     others = F.col("copies") - F.col("doc_id").isNotNull().cast("long") + F.coalesce("links", F.lit(0))
     return _members(rows, linked, n_links=F.coalesce(others, F.lit(0)).cast("long"))
 
@@ -575,8 +638,10 @@ def jaccard_links(df: DataFrame, words: int = WORDS, share: int = SHARE) -> tupl
     common), a < b, link all documents of class a with all of class b. Rows are those of
     `jaccard_components`.
     """
-    rows, classed = _classed(df, words, share)
-    return _members(rows, classed, class_id=F.col("rep")), _links(classed, df, words, share, listed=True)
+    rows, classes, edges = _families(df, words, share)
+    found = cut(_links(classes, df, words, share, listed=True))
+    classed = _with_components(classes, edges.unionByName(found.select("a", "b")))
+    return _members(rows, classed, class_id=F.col("rep")), found
 
 
 def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -585,7 +650,12 @@ def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFr
     Rows with a NULL doc_id can't be told apart from their copies and are kept as they are. Texts
     stay where they are read, but for those whose ids look like ones that go or that repeat.
     """
-    found = cut(_members(*_classed(df, words, share)).where(F.col("doc_id").isNotNull()))
+    rows, classes, edges = _families(df, words, share)
+    # families of one component hold no link that could change anything
+    open_ = classes.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    links = _links(classes.join(open_.select("family"), "family"), df, words, share, listed=False)
+    edges = edges.unionByName(links.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    found = cut(_members(rows, _with_components(classes, edges)).where(F.col("doc_id").isNotNull()))
     judged = found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
     )

@@ -35,13 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _OF_BYTE = mix((np.arange(256, dtype=_U) + _U(1)) * _U(_ODD))
 
 
+#: Bytes that are summed up at a time: the powers for so many are the only table, however long a text.
+SPAN = 1 << 20
+
+
 @cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """SPAN powers of an odd number modulo 2^64, and of its inverse."""
     inverse = pow(_ODD, -1, 1 << 64)
     out = []
     for base in (_ODD, inverse):
-        steps = np.full(size, base, _U)
+        steps = np.full(SPAN, base, _U)
         steps[0] = 1
         out.append(np.multiply.accumulate(steps))
     return out[0], out[1]
@@ -71,12 +75,43 @@ class Block:
         """Hashes of the byte ranges, which may not be empty."""
         if not len(start):
             return np.zeros(0, _U)
-        size = 1 << max(16, int(len(self.data)).bit_length())
-        up, down = _powers(size)
-        data = _LOWER[self.data] if lower else self.data
+        sums = np.zeros(len(start), _U)
+        if len(self.data) <= SPAN:
+            sums[:] = self._sums(0, len(self.data), start, end, lower)
+        else:
+            # from span to span, each with the ranges that start in it and end before it does
+            order = np.argsort(start, kind="stable")
+            first, last = start[order], np.maximum.accumulate(end[order])
+            at = 0
+            while at < len(order):
+                low = int(first[at])
+                to = int(np.searchsorted(last, low + SPAN, "right"))
+                if to <= at:  # a range longer than a span
+                    sums[order[at]] = self._long_sum(low, int(end[order[at]]), lower)
+                    at += 1
+                    continue
+                some = order[at:to]
+                sums[some] = self._sums(low, int(last[to - 1]), start[some], end[some], lower)
+                at = to
+        return mix(sums + (end - start).astype(_U) * _U(_ODD))
+
+    def _sums(self, low: int, high: int, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+        """Of each range the sum of its bytes' numbers, each times a power by its place in the range."""
+        up, down = _powers()
+        data = self.data[low:high]
+        data = _LOWER[data] if lower else data
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum(_OF_BYTE[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(_ODD))
+        return (sums[end - low] - sums[start - low]) * down[np.minimum(start - low, SPAN - 1)]
+
+    def _long_sum(self, low: int, high: int, lower: bool) -> int:
+        total, power = 0, 1
+        for at in range(low, high, SPAN):
+            to = min(at + SPAN, high)
+            part = self._sums(at, to, np.array([at]), np.array([to]), lower)
+            total += int(part[0]) * power
+            power = power * pow(_ODD, SPAN, 1 << 64) % (1 << 64)
+        return total % (1 << 64)
 
     def texts(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
         """The byte ranges as lower-case strings; they must hold whole characters."""

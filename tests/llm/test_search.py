@@ -249,3 +249,47 @@ def test_passages_without_spaces():
     items = decontamination.Items([1, 2], ["\u6771\u4eac\u306e\u5929\u6c17\u306f\u6674\u308c", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35"])
     docs = ["abc\u4eca\u65e5\u306e\u6771\u4eac\u306e\u5929\u6c17\u304c\u6674\u308c\u3067\u3059", "x\u0e01\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e01", "\u6771\u4eac"]
     assert [(row, item) for row, item, *_ in items.search(pa.array(docs))] == [(0, 1), (1, 2)]
+
+
+def test_hashes_do_not_depend_on_spans(monkeypatch):
+    from ledgerlake.llm import words as words_module
+
+    rng = random.Random(8)
+    texts = [prose(rng, 400), "x" * 5000, "Ä" * 700 + " end", "", None, prose(rng, 30)]
+    whole = [np.concatenate([b.word_hashes() for b in blocks(pa.array(texts), 1 << 30)])]
+    monkeypatch.setattr(words_module, "SPAN", 64)
+    words_module._powers.cache_clear()
+    try:
+        spans = np.concatenate([b.word_hashes() for b in blocks(pa.array(texts), 1 << 30)])
+        starts = np.array([900, 3, 3, 500, 0])
+        ends = np.array([1000, 9, 300, 501, 4000])
+        block = next(iter(blocks(pa.array(texts), 1 << 30)))
+        mixed = block.hashes(starts, ends)
+    finally:
+        monkeypatch.undo()
+        words_module._powers.cache_clear()
+    assert (spans == whole[0]).all()
+    assert (mixed == block.hashes(starts, ends)).all()
+
+
+def test_runs_span_batches():
+    rows = [(k // 5, k, np.arange(k, dtype=np.uint64).tobytes()) for k in range(23)]
+    table = pa.table(
+        {c: pa.array(v) for c, v in zip(("key", "x", "bits"), map(list, zip(*rows, strict=True)), strict=True)}
+    )
+    for size in (1, 3, 7, 100):
+        found = list(ngram_join._runs(table.to_batches(size), ["key"], ["x", "bits"], "bits"))
+        assert [r["x"].tolist() for r in found] == [list(range(a, min(a + 5, 23))) for a in range(0, 23, 5)]
+        assert [len(b) for r in found for b in r["bits"]] == list(range(23))
+
+
+def test_roots_are_components():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (50, 20), (300, 250), (40, 400)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        root = ngram_join._roots(n, i, j)
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, j, strict=True):
+                want[a] = want[b] = min(want[a], want[b])
+        assert root.tolist() == want
