@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.tables import cut
+from ledgerlake.llm.tables import discard, stored
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     smallest one, then so is every smaller neighbour. Each step is a grouping and a join on nodes;
     the edges are stored after each round, and their number never grows.
     """
-    links = cut(
+    links = stored(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where(F.col("a") > F.col("b"))
-        .distinct()
+        .distinct(),
+        "components",
     )
     seen = None
     while True:
@@ -49,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where(F.col("a") > F.col("b"))
             .distinct()
         )
-        links = cut(small)
+        before, links = links, stored(small, "components")
+        discard(before)
         now = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")
         ).first()

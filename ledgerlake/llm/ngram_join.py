@@ -12,8 +12,8 @@ The order of shingles puts those of passages that very many texts share last, so
 makes no group of all its texts. They are found by counting within some thousand texts at a time;
 any order gives the same result, so a table of the most frequent ones will do.
 
-It is done in rounds. The first ones take a few shingles of least hash of each set, which similar
-sets share with high chance, and keep, per group, a forest of likely pairs; these are compared and
+It is done in rounds. The first one (or more) takes a few shingles of least hash of each set, which similar
+sets share with high chance, and keeps, per group, a forest of likely pairs; these are compared and
 give provisional components, which already hold nearly all copies together. The last round takes all
 prefix shingles, and only groups in which different components still meet. What its walks can't
 exclude is not passed on pair by pair, as a group of near copies has a square of these: each walk gives
@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.components import components
 from ledgerlake.llm.signature_tree import Tree, bitmap, dual_traversal, fold
-from ledgerlake.llm.tables import cut
+from ledgerlake.llm.tables import stored
 from ledgerlake.llm.words import blocks, mix, shingles
 
 WORDS = 4
 SHARE = 85
 #: Shingles of least hash looked at in each of the first rounds.
-FIRST = (3, 6)
+FIRST = (4,)
 #: Sets per block of a large group.
 BLOCK = 1024
 #: Shingles per block of a component whose links are looked for, and columns compared at a time.
@@ -399,7 +399,7 @@ def _shingles_of(ids: DataFrame, df: DataFrame, words: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, df: DataFrame, words: int, share: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact comparison of the shingles of both."""
-    pairs = cut(pairs)
+    pairs = stored(pairs, "op2-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = _shingles_of(ids, df, words)
 
@@ -533,7 +533,7 @@ def _links(classes: DataFrame, df: DataFrame, words: int, share: int, listed: bo
         .withColumn("across", F.col("s") != F.col("t"))
         .withColumn("side", F.when(F.col("across") & (F.col("own") == F.col("t")), 1).otherwise(0))
     )
-    ids = cut(placed.select(F.col("rep").alias("id")).distinct())
+    ids = stored(placed.select(F.col("rep").alias("id")).distinct(), "op2-ids")
     key = ["comp", "band", "s", "t"]
     rows = found.join(_shingles_of(ids, df, words).withColumnRenamed("id", "rep"), "rep").select(
         *key, "rep", "copies", "guest", "tokens", "side", "across"
@@ -557,17 +557,18 @@ def _families(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     (comp) and its family, within which all its links lie. Ties (a, b) are the links behind the
     provisional components.
     """
-    rows = cut(_checksums(df, words))
+    rows = stored(_checksums(df, words), "op2-checksums")
     named = (
         rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .groupBy(*_CLASS)
         .agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     )
     profiles = _profiles(df, words, share).withColumnRenamed("doc_id", "rep")
-    sets = cut(
+    sets = stored(
         named.join(profiles, "rep").dropDuplicates(["rep"]).select(
             *_CLASS, "rep", "copies", "heads", "prefix", "bits"
-        )
+        ),
+        "op2-sets",
     )
 
     def entries(tokens: Column, comp: DataFrame) -> DataFrame:
@@ -577,7 +578,7 @@ def _families(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     for k, size in enumerate(FIRST):
         heads = entries(F.slice("heads", sum(FIRST[:k]) + 1, size), parts)
         links = _similar(_candidates(heads, sets, share, forest=True), df, words, share)
-        edges = cut(components(links if edges is None else links.unionByName(edges)))
+        edges = stored(components(links if edges is None else links.unionByName(edges)), "op2-edges")
         parts = sets.join(edges.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "comp", F.coalesce("component", "rep")
         )
@@ -587,7 +588,7 @@ def _families(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     classes = parts.join(families, "comp", "left").select(
         *_CLASS, "rep", "copies", "comp", F.coalesce("family", "comp").alias("family")
     )
-    return rows, cut(classes), edges
+    return rows, stored(classes, "op2-classes"), edges
 
 
 def _with_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -623,7 +624,7 @@ def jaccard_components(df: DataFrame, words: int = WORDS, share: int = SHARE) ->
     NULL. An empty table gives an empty result; other columns are ignored.
     """
     rows, classes, edges = _families(df, words, share)
-    found = cut(_links(classes, df, words, share, listed=False))
+    found = stored(_links(classes, df, words, share, listed=False), "op2-links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = edges.unionByName(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     linked = _with_components(classes, edges).join(counted, "rep", "left")
@@ -639,7 +640,7 @@ def jaccard_links(df: DataFrame, words: int = WORDS, share: int = SHARE) -> tupl
     `jaccard_components`.
     """
     rows, classes, edges = _families(df, words, share)
-    found = cut(_links(classes, df, words, share, listed=True))
+    found = stored(_links(classes, df, words, share, listed=True), "op2-links")
     classed = _with_components(classes, edges.unionByName(found.select("a", "b")))
     return _members(rows, classed, class_id=F.col("rep")), found
 
@@ -653,9 +654,11 @@ def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFr
     rows, classes, edges = _families(df, words, share)
     # families of one component hold no link that could change anything
     open_ = classes.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    links = _links(classes.join(open_.select("family"), "family"), df, words, share, listed=False)
+    apart = classes.join(open_.select("family"), "family")
+    links = stored(_links(apart, df, words, share, listed=False), "op2-links")
     edges = edges.unionByName(links.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    found = cut(_members(rows, _with_components(classes, edges)).where(F.col("doc_id").isNotNull()))
+    members = _members(rows, _with_components(classes, edges)).where(F.col("doc_id").isNotNull())
+    found = stored(members, "op2-members")
     judged = found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
     )

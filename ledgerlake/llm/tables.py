@@ -45,4 +45,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes rows that `stored` has written, once nothing is left to be read from them."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
