@@ -47,7 +47,7 @@ FIRST = (4,)
 BLOCK = 1024
 #: Shingles per block of a component whose links are looked for, and columns compared at a time.
 BLOCK_TOKENS = 1 << 20
-COLUMNS = 4096
+COLUMNS = 1024
 #: A shingle is frequent if it occurs so often among FREQUENT_AMONG shingles of one task.
 FREQUENT = 8
 FREQUENT_AMONG = 1 << 21

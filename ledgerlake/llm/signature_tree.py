@@ -12,7 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 16
-_SLICE_WORDS = 1 << 19
+_SLICE_WORDS = 1 << 18
+#: Node pairs whose children are looked at together: 256 pairs of children each.
+_PARENTS = 256
 
 
 def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
@@ -81,29 +83,37 @@ def dual_traversal(x: Tree, y: Tree, share: int) -> tuple[np.ndarray, np.ndarray
             for held in (tree.bits, tree.size, tree.loss, tree.of):
                 held.append(held[-1])
             tree.depth += 1
-    i = j = np.zeros(1, np.int64)
-    while True:
-        ok = _possible(x, y, level, i, j, share)
-        i, j = i[ok], j[ok]
-        if level == 0 or not len(i):
-            return i, j
+    i = j = np.zeros(1, np.int32)
+    ok = _possible(x, y, level, i, j, share)
+    i, j = i[ok], j[ok]
+    while level and len(i):
         level -= 1
-        child = lambda tree, n: np.minimum(
-            np.stack([n * FANOUT, (n + 1) * FANOUT]), len(tree.loss[level])
-        )
-        if len(x.loss[level]) == len(x.loss[level + 1]) == 1:
-            x_from, x_to = i, i + 1
-        else:
-            x_from, x_to = child(x, i)
-        if len(y.loss[level]) == len(y.loss[level + 1]) == 1:
-            y_from, y_to = j, j + 1
-        else:
-            y_from, y_to = child(y, j)
-        wide, high = x_to - x_from, y_to - y_from
-        pair = np.repeat(np.arange(len(i)), wide * high)
-        inside = np.arange(len(pair)) - np.repeat(np.cumsum(wide * high) - wide * high, wide * high)
-        i = x_from[pair] + inside // high[pair]
-        j = y_from[pair] + inside % high[pair]
-        if alone:
-            ahead = i < j if level == 0 else i <= j
-            i, j = i[ahead], j[ahead]
+        # some parents at a time, so that only survivors of a level are held
+        parts = [
+            _children(x, y, level, i[at : at + _PARENTS], j[at : at + _PARENTS], alone, share)
+            for at in range(0, len(i), _PARENTS)
+        ]
+        i, j = (np.concatenate(part) for part in zip(*parts, strict=True))
+    return i, j
+
+
+def _children(x: Tree, y: Tree, level: int, i: np.ndarray, j: np.ndarray, alone: bool, share: int):
+    """Of node pairs one level up, the pairs of their children that may hold similar sets."""
+
+    def ranges(tree: Tree, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(tree.loss[level]) == len(tree.loss[level + 1]) == 1:
+            return n, n + 1
+        return n * FANOUT, np.minimum((n + 1) * FANOUT, len(tree.loss[level]))
+
+    (x_from, x_to), (y_from, y_to) = ranges(x, i), ranges(y, j)
+    high = y_to - y_from
+    count = (x_to - x_from) * high
+    pair = np.repeat(np.arange(len(i)), count)
+    inside = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+    i = (x_from[pair] + inside // high[pair]).astype(np.int32)
+    j = (y_from[pair] + inside % high[pair]).astype(np.int32)
+    if alone:
+        ahead = i < j if level == 0 else i <= j
+        i, j = i[ahead], j[ahead]
+    ok = _possible(x, y, level, i, j, share)
+    return i[ok], j[ok]
