@@ -130,6 +130,13 @@ class _Leaves(HTMLParser):
             if tag in INLINE and self.open[k][0] not in INLINE:
                 break
 
+    def parse_marked_section(self, i, report=1):
+        # what is no known section ends at the next ">", as in browsers
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         if not self.hidden:
             self.parts.append(data)

@@ -41,14 +41,19 @@ def quantised(df: DataFrame, scale: int = SCALE) -> DataFrame:
         .select(
             "row",
             F.col("vec_id").cast("long").alias("vec_id"),
-            F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vec"),
+            F.transform("embedding", lambda x: _floored(x.cast("double") * scale)).alias("vec"),
         )
     )
 
 
+def _floored(x):
+    beyond = F.raise_error(F.concat(F.lit("beyond 64 bits: "), x.cast("string"))).cast("long")
+    return F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(beyond)
+
+
 def _matrix(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = vectors.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(vectors), dim)
 
 
 def _products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -56,7 +61,12 @@ def _products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     low = lambda m: int(np.abs(m).max(initial=0)) + 1
     if low(queries) * low(candidates) * max(1, queries.shape[1]) < 1 << 53:
         return (queries.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.int64)
-    return queries @ candidates.T
+    if low(queries) * low(candidates) * queries.shape[1] < 1 << 63:
+        return queries @ candidates.T
+    exact = queries.astype(object) @ candidates.astype(object).T
+    if max(exact.max(), -exact.min()) >= 1 << 63:
+        raise OverflowError("an inner product is beyond 64 bits")
+    return exact.astype(np.int64)
 
 
 def select(scores: np.ndarray, k: int) -> np.ndarray:
@@ -124,6 +134,8 @@ def exact_topk(
     vectors of equal length are compared. Rows that share a vec_id are separate rows: each is a
     query of its own, and each is a candidate of the others. Fewer than k candidates give shorter
     lists, an empty table gives an empty result. Other columns are ignored.
+
+    Vectors without components score 0 with each other. A component or a score beyond 64 bits raises.
     """
     vectors = quantised(df, scale).withColumn("dim", F.size("vec"))
     n = df.count()

@@ -249,3 +249,16 @@ def test_gradients_are_those_of_the_loss():
             down = loss()
             value[at] = before
             assert found[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_no_page_stops_the_parser():
+    rng = random.Random(9)
+    page = "<html><body><nav><a href=x>menu</a></nav><article><p>Some text &amp; more</p></article></body></html>"
+    odd = ["<![foo[bar]]>", "<![", "<![ ]>", "<!", "<!-", "<!-->", "<![CDATA[x]]>", "<!DOCTYPE [", "<?", "</", "<a b='", "&#", "&#xffffffff;", "<!ELEMENT"]
+    assert [t for t, _, _ in pages.leaves(page.replace("<p>", "<![foo[bar]]><p>"))] == ["menu", "Some text & more"]
+    for _ in range(3000):
+        text = page
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(odd) + text[at + rng.randrange(4) :]
+        pages.leaves(text[: rng.randrange(len(text) + 1)])

@@ -293,3 +293,17 @@ def test_roots_are_components():
             for a, b in zip(i, j, strict=True):
                 want[a] = want[b] = min(want[a], want[b])
         assert root.tolist() == want
+
+
+def test_vectors_of_no_length_and_scores_beyond_64_bits(spark):
+    ddl = "vec_id long, embedding array<double>"
+    none = spark.createDataFrame([(20, []), (1, []), (2, [1.0]), (40, [])], ddl)
+    found = sorted(collected(topk.exact_topk(none, k=5, every=20), "query_id", "rank", "vec_id", "score"))
+    assert found == [(20, 1, 1, 0), (20, 2, 40, 0), (40, 1, 1, 0), (40, 2, 20, 0)]
+    large = spark.createDataFrame([(20, [1e9, 1.0]), (1, [1e9, -1.0]), (2, [1.0, 1.0])], ddl)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.exact_topk(large).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.exact_topk(spark.createDataFrame([(20, [1e30]), (1, [1.0])], ddl)).collect()
+    a, b = np.array([[1 << 40, -(1 << 40)]], np.int64), np.array([[1 << 30, 1 << 30], [1 << 20, 0]], np.int64)
+    assert topk._products(a, b).tolist() == [[0, 1 << 60]]
