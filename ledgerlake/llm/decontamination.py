@@ -81,14 +81,7 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """
     block.find_words()
     _split(block)
-    data, start, end = block.data, block.start.copy(), block.end.copy()
-    if not len(start):
-        return np.zeros(0, _U), np.zeros(block.rows + 1, np.int64)
-    for _ in range(4):
-        start += _EDGE[data[start]] & (end - start > 1)
-        end -= _EDGE[data[end - 1]] & (end - start > 1)
-    marks = np.concatenate([[0], np.cumsum(~_EDGE[data])])
-    some = marks[end] > marks[start]
+    start, end, some = block.without_marks(_EDGE)
     ptr = np.concatenate([[0], np.cumsum(some)])[block.word_ptr]
     return block.hashes(start[some], end[some]), ptr
 

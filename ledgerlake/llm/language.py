@@ -52,14 +52,9 @@ class Vocabulary:
     def of_texts(cls, block: Block) -> Vocabulary:
         """Those of a block of texts; `row` has the text of each occurrence."""
         block.find_words()
-        data, start, end = block.data, block.start.copy(), block.end.copy()
-        for _ in range(4 if len(start) else 0):
-            start += _EDGE[data[start]] & (end - start > 1)
-            end -= _EDGE[data[end - 1]] & (end - start > 1)
-        row = np.repeat(np.arange(block.rows), np.diff(block.word_ptr))
         # what has no letter at all says nothing
-        letters = np.concatenate([[0], np.cumsum(~_EDGE[data])])
-        some = letters[end] > letters[start] if len(start) else np.zeros(0, bool)
+        start, end, some = block.without_marks(_EDGE)
+        row = np.repeat(np.arange(block.rows), np.diff(block.word_ptr))
         out = cls(block, start[some], end[some])
         out.row = row[some]
         return out

@@ -2,33 +2,31 @@
 
 Every token has a log-odds score of toxic against clean, with Dirichlet priors: a word's prior has
 the weight of its frequency in the whole corpus and the odds of its longest stem (its first 7
-letters), which has those of the next shorter one, and so on. An unseen word of a known stem is
-judged by the stem. Scores are lowered by a multiple of their standard
-error and by an offset, which makes chance segments negative on average.
+letters), which has those of the next shorter one, and so on. Words and stems are known by hashes of 64
+bits: those of the labelled sample are held, each with its own counts, so a word that the sample lacks is
+judged by its longest stem that it has, however large the corpus. Scores are lowered by a multiple of
+their standard error and by an offset, which makes chance segments negative on average.
 
 One linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text. Chance maxima of
 such sums follow an extreme-value law; its two parameters are fitted on clean rows of the sample. A
 segment of score s in a text of n tokens is expected K * n * exp(-lambda * s) times by chance, and
-significant if that is EVALUE at most. A text is judged by the chance of its best
-segments together, through a rising curve over the logarithm that is fitted on a part of the sample kept aside.
+significant if that is EVALUE at most. A text is judged by the chance of its best segments together,
+as many of all it has as make that least, through a rising curve over the logarithm that is fitted on a
+part of the sample kept aside.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.labelled import long_ids, look_up, remainder, sample
+from ledgerlake.llm.labelled import look_up, remainder, sample
 from ledgerlake.llm.tables import cut
-from ledgerlake.llm.words import Block, blocks
+from ledgerlake.llm.words import Block, blocks, mix
 
-#: Hash slots of words, and of stems of each length in letters.
-WORD_SLOTS = 1 << 17
-STEM_SLOTS = 1 << 15
+#: Letters of stems.
 STEMS = (4, 5, 6, 7)
 #: Labelled rows that class counts are taken from at most.
 SAMPLE_ROWS = 20_000
@@ -38,8 +36,6 @@ LEAST = 6.0
 CAUTION = 1.5
 OFFSET = 1.0
 EVALUE = 0.01
-#: Segments of a text that its judgement looks at.
-TOP = 8
 THRESHOLD = 0.7
 
 _U = np.uint64
@@ -48,64 +44,92 @@ _EDGE[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
 def _tokens(block: Block) -> np.ndarray:
-    """Per word, without marks at its ends, the slots of its stems and its own: one line each."""
+    """Per word, without marks at its ends, the keys of its stems and its own: one line each."""
     block.find_words()
-    start, end, data = block.start.copy(), block.end.copy(), block.data
+    data = block.data
+    start, end, _ = block.without_marks(_EDGE)
     if not len(start):
-        return np.zeros((len(STEMS) + 1, 0), np.int64)
-    # at most a few marks stand at either end; a word of marks alone stays as it is
-    for _ in range(4):
-        start += _EDGE[data[start]] & (end - start > 1)
-        end -= _EDGE[data[end - 1]] & (end - start > 1)
+        return np.zeros((len(STEMS) + 1, 0), _U)
     lead = (data & 0xC0) != 0x80
     at = np.append(np.flatnonzero(lead), len(data))
     number = (np.cumsum(lead) - 1)[start]
     ends = [np.minimum(at[np.minimum(number + k, len(at) - 1)], end) for k in STEMS]
     hashed = block.hashes(np.tile(start, len(STEMS) + 1), np.concatenate([*ends, end]))
-    out = hashed.reshape(len(STEMS) + 1, -1)
-    for k in range(len(STEMS)):
-        out[k] = (out[k] & _U(STEM_SLOTS - 1)) + _U(WORD_SLOTS + k * STEM_SLOTS)
-    out[-1] &= _U(WORD_SLOTS - 1)
-    return out.astype(np.int64)
+    return mix(hashed.reshape(len(STEMS) + 1, -1) + np.arange(len(STEMS) + 1, dtype=_U)[:, None])
 
 
-def _counts(df: DataFrame, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Per slot: tokens in the corpus, and clean and toxic texts of the sample that hold it."""
-    slots = WORD_SLOTS + len(STEMS) * STEM_SLOTS
+def _of_classes(df: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of words and stems in the sample, ascending, if each is a word's, and how many of its clean
+    and toxic texts hold it.
+    """
+    spark = df.sparkSession
+    known = spark.createDataFrame(zip(ids.tolist(), y.tolist(), strict=True), "doc_id long, y int")
 
     def count(batches):
-        total = np.zeros((3, slots), np.int64)
         for batch in batches:
-            at = look_up(ids, long_ids(batch["doc_id"]))
-            kind = np.where(at < 0, -1, y[at] if len(y) else 0)
+            kind = batch["y"].to_numpy()
             for block in blocks(batch["text"]):
                 tokens = _tokens(block)
-                both = tokens.ravel()
-                total[0] += np.bincount(both, minlength=slots)
+                key, number = np.unique(tokens, return_inverse=True)
+                number = number.reshape(tokens.shape)
                 row = np.repeat(np.arange(block.rows), np.diff(block.word_ptr))
-                row = np.tile(row, len(tokens))
-                of = kind[block.first + row]
-                for c in np.unique(of[of >= 0]).tolist():
-                    once = np.unique(row[of == c] * slots + both[of == c]) % slots
-                    total[1 + c] += np.bincount(once, minlength=slots)
-        used = np.flatnonzero(total[0])
-        for k in range(0, len(used), 1 << 16):
-            some = used[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some), *(pa.array(total[c, some]) for c in range(3))],
-                names=["slot", "every", "clean", "toxic"],
-            )
-
+                once = np.unique(number * block.rows + row[None, :])
+                toxic = kind[block.first + once % block.rows] == 1 if len(once) else once > 0
+                held = once // max(block.rows, 1)
+                bad = np.bincount(held[toxic], minlength=len(key))
+                word = np.zeros(len(key), bool)
+                word[number[-1]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key.view(np.int64)),
+                        pa.array(word),
+                        pa.array(np.bincount(held, minlength=len(key)) - bad),
+                        pa.array(bad),
+                    ],
+                    names=["key", "word", "clean", "toxic"],
+                )
+
+    # the sample has a bounded number of rows, whatever the corpus
     found = (
         df.select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(count, "slot long, every long, clean long, toxic long")
-        .groupBy("slot")
-        .agg(*(F.sum(c).alias(c) for c in ("every", "clean", "toxic")))
+        .join(F.broadcast(known), "doc_id")
+        .select("y", "text")
+        .mapInArrow(count, "key long, word boolean, clean long, toxic long")
+        .groupBy("key")
+        .agg(F.max("word").alias("word"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .toPandas()
     )
-    out = np.zeros((3, slots))
-    out[:, found["slot"].to_numpy(np.int64)] = found[["every", "clean", "toxic"]].to_numpy().T
-    return out
+    key = found["key"].to_numpy(np.int64).view(_U)
+    order = np.argsort(key)
+    columns = (found[c].to_numpy(t)[order] for c, t in (("word", bool), ("clean", np.int32), ("toxic", np.int32)))
+    return key[order], *columns
+
+
+def _of_corpus(df: DataFrame, held: np.ndarray) -> tuple[np.ndarray, int]:
+    """How often each held word is in all documents, and all their words."""
+
+    def count(batches):
+        total, words = np.zeros(len(held), np.int64), 0
+        for batch in batches:
+            for block in blocks(batch["text"]):
+                own = _tokens(block)[-1]
+                words += len(own)
+                key, times = np.unique(own, return_counts=True)
+                at = look_up(held, key)
+                total[at[at >= 0]] += times[at >= 0]
+        used = np.flatnonzero(total)
+        for k in range(0, len(used), 1 << 16):
+            some = used[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "every"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([words])], names=["at", "every"])
+
+    found = (
+        df.select("text").mapInArrow(count, "at long, every long").groupBy("at").agg(F.sum("every").alias("every"))
+    ).toPandas()
+    at, every = found["at"].to_numpy(np.int64), found["every"].to_numpy(np.int64)
+    out = np.zeros(len(held), np.int64)
+    out[at[at >= 0]] = every[at >= 0]
+    return out, int(every[at < 0].sum())
 
 
 class Odds:
@@ -116,24 +140,39 @@ class Odds:
     the word is in the corpus. What was never seen scores nothing.
     """
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.every = max(1.0, counts[0, :WORD_SLOTS].sum())
-        n = counts[1:, :WORD_SLOTS].sum(1)
-        self.known = bool(n.all())
-        self.share = n[1] / max(1.0, n.sum())
+    def __init__(self, keys: np.ndarray, word: np.ndarray, clean: np.ndarray, toxic: np.ndarray):
+        self.keys, self.word = keys, word
+        # one line more, of nothing, for what is not held
+        self.clean, self.toxic = (np.append(x, 0).astype(np.int32) for x in (clean, toxic))
+        n = [int(x[word].sum()) for x in (clean, toxic)]
+        self.known = all(n)
+        self.share = n[1] / max(1, sum(n))
+        self.weight = np.full(len(keys) + 1, LEAST)
+
+    def frequencies(self, df: DataFrame) -> None:
+        """Takes the weights of words from their share of all documents."""
+        every, words = _of_corpus(df, self.keys[self.word])
+        self.weight[:-1][self.word] += PRIOR * every / max(1, words)
 
     def scores(self, tokens: np.ndarray) -> np.ndarray:
-        toxic = np.full(tokens.shape[1], self.share)
-        for slot in tokens[:-1]:
-            clean, bad = self.counts[1:, slot]
-            toxic = (bad + LEAST * toxic) / (clean + bad + LEAST)
-        every, clean, bad = self.counts[:, tokens[-1]]
-        weight = PRIOR * every / self.every + LEAST
-        clean, bad = clean + weight * (1 - toxic), bad + weight * toxic
+        distinct, number = np.unique(tokens[-1], return_inverse=True)
+        if not len(distinct):
+            return np.zeros(0)
+        # stems follow from the word, so each distinct word is scored once
+        first = np.zeros(len(distinct), np.int64)
+        first[number] = np.arange(len(number))
+        tokens = tokens[:, first]
+        odds = np.full(len(distinct), self.share)
+        for line in tokens[:-1]:
+            at = look_up(self.keys, line)
+            clean, bad = self.clean[at], self.toxic[at]
+            odds = (bad + LEAST * odds) / (clean + bad + LEAST)
+        at = look_up(self.keys, tokens[-1])
+        weight = self.weight[at]
+        clean, bad = self.clean[at] + weight * (1 - odds), self.toxic[at] + weight * odds
         error = np.sqrt(1 / (clean + 0.5) + 1 / (bad + 0.5))
         even = np.log(self.share / (1 - self.share))
-        return np.log(bad / clean) - even - CAUTION * error - OFFSET
+        return (np.log(bad / clean) - even - CAUTION * error - OFFSET)[number]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -162,33 +201,30 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _found(df: DataFrame, odds: Odds) -> DataFrame:
-    """doc_id, n (tokens), the best scores, all segments of every document."""
+    """doc_id, n (tokens), all segments of every document."""
 
     def find(batches):
         for batch in batches:
-            n, top, held = [], [], []
+            n, held = [], []
             for block in blocks(batch["text"]):
                 scores = odds.scores(_tokens(block))
                 for a, b in zip(block.word_ptr[:-1].tolist(), block.word_ptr[1:].tolist(), strict=True):
                     found = segments(scores[a:b]) if (scores[a:b] > 0).any() else []
                     n.append(b - a)
-                    best = sorted((s for _, _, s in found), reverse=True)[:TOP]
-                    top.append(best + [0.0] * (TOP - len(best)))
                     held.append([{"start": i, "end": j, "score": s} for i, j, s in found])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
                     pa.array(n, pa.int64()),
-                    pa.array(top, pa.list_(pa.float64())),
                     pa.array(held, kind),
                 ],
-                names=["doc_id", "n", "top", "segments"],
+                names=["doc_id", "n", "segments"],
             )
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         find,
-        "doc_id long, n long, top array<double>, segments array<struct<start:int,end:int,score:double>>",
+        "doc_id long, n long, segments array<struct<start:int,end:int,score:double>>",
     )
 
 
@@ -202,24 +238,29 @@ def chance_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(1 / np.mean(best[some])), float(some.sum() / n.sum())
 
 
-def unlikely(top: np.ndarray, n: np.ndarray, lam: float, k: float) -> np.ndarray:
+def unlikely(scores: np.ndarray, ptr: np.ndarray, n: np.ndarray, lam: float, k: float) -> np.ndarray:
     """-ln of the chance that a clean text of n tokens has segments as good as the r best, for the r
     that makes it least likely (sum statistics of segment scores); 0 without any segment.
 
-    `top` has the best scores of each text, falling, 0 where there are no more.
+    The segments of text i are scores[ptr[i]:ptr[i + 1]], in any order.
     """
-    each = np.where(top > 0, lam * top - np.log(k * np.maximum(n, 1))[:, None], 0.0)
-    best, sums = np.zeros(len(top)), np.zeros(len(top))
-    for r in range(1, top.shape[1] + 1):
-        sums = sums + each[:, r - 1]
-        some = np.maximum(sums, 1e-9)
-        ln_chance = -some + (r - 1) * np.log(some) - math.lgamma(r + 1) - math.lgamma(r)
-        # for one segment the exact law, for more its tail, where it holds
-        if r == 1:
-            ln_chance = np.log(-np.expm1(-np.exp(np.minimum(-sums, 50))) + 1e-300)
-        ok = (top[:, r - 1] > 0) & ((r == 1) | (sums > r))
-        best = np.where(ok, np.maximum(best, -ln_chance - np.log(r)), best)
-    return best
+    out = np.zeros(len(n))
+    if not len(scores):
+        return out
+    text = np.repeat(np.arange(len(n)), np.diff(ptr))
+    falling = scores[np.lexsort((-scores, text))]
+    each = lam * falling - np.log(k * np.maximum(n, 1))[text]
+    total = np.concatenate([[0.0], np.cumsum(each)])
+    sums = total[1:] - total[ptr[text]]
+    r = np.arange(len(text)) - ptr[text] + 1
+    ln_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, r.max() + 1)))])
+    some = np.maximum(sums, 1e-9)
+    tail = -some + (r - 1) * np.log(some) - ln_factorial[r] - ln_factorial[r - 1]
+    # for one segment the exact law, for more its tail, where it holds
+    one = np.log(-np.expm1(-np.exp(np.minimum(-sums, 50))) + 1e-300)
+    chance = np.where(r == 1, one, tail)
+    np.maximum.at(out, text, np.where((r == 1) | (sums > r), -chance - np.log(r), 0.0))
+    return out
 
 
 def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +289,7 @@ def score(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
     ids, y = sample(labels, "toxic", remainder(F.col("doc_id"), 3) != 1, sample_rows)
     # every third row of the sample is kept aside: its own words would flatter the calibration
     aside = np.arange(len(ids)) % 3 == 0
-    odds = Odds(_counts(df, ids[~aside], y[~aside]))
+    odds = Odds(*_of_classes(df, ids[~aside], y[~aside]))
     held_out = (remainder(F.col("doc_id"), 3) == 1).alias("held_out")
     none = F.array().cast("array<struct<start:int,end:int,score:double>>")
     if not odds.known:
@@ -260,6 +301,7 @@ def score(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
             F.lit(0).alias("n_passages"),
             none.alias("passages"),
         )
+    odds.frequencies(df)
     found = cut(_found(df, odds))
 
     ids, y = ids[aside], y[aside]
@@ -270,23 +312,27 @@ def score(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
             yield batch.filter(pa.array(at >= 0))
 
     known = (
-        found.select("doc_id", "n", "top")
+        found.select("doc_id", "n", F.transform("segments", lambda s: s["score"]).alias("scores"))
         .where(F.col("doc_id").isNotNull())
-        .mapInArrow(labelled, "doc_id long, n long, top array<double>")
+        .mapInArrow(labelled, "doc_id long, n long, scores array<double>")
         .dropDuplicates(["doc_id"])
         .orderBy("doc_id")
         .toPandas()
     )
     of = y[look_up(ids, known["doc_id"].to_numpy(np.int64))]
     n = known["n"].to_numpy(np.float64)
-    top = np.array(known["top"].to_list(), np.float64).reshape(-1, TOP)
-    lam, k = chance_law(top[of == 0, 0], n[of == 0])
-    knots, shares = rising(unlikely(top, n, lam, k), of.astype(np.float64))
+    held = [np.asarray(x, np.float64) for x in known["scores"]]
+    best = np.array([x.max(initial=0.0) for x in held])
+    lam, k = chance_law(best[of == 0], n[of == 0])
+    ptr = np.cumsum([0, *map(len, held)])
+    flat = np.concatenate([np.zeros(0), *held])
+    knots, shares = rising(unlikely(flat, ptr, n, lam, k), of.astype(np.float64))
 
     def judge(batches):
         for batch in batches:
-            best = batch["top"].flatten().to_numpy().reshape(-1, TOP)
-            x = unlikely(best, batch["n"].to_numpy(), lam, k)
+            ptr = np.append(0, np.cumsum(batch["segments"].value_lengths().to_numpy()))
+            scores = batch["segments"].flatten().field("score").to_numpy()
+            x = unlikely(scores, ptr, batch["n"].to_numpy(), lam, k)
             # a little of the logarithm itself tells rows of one share apart
             judged = 0.999 * np.interp(x, knots, shares) + 0.001 * x / (1 + x)
             expected = np.maximum(batch["n"].to_numpy(), 1) * k / EVALUE

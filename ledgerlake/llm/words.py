@@ -71,6 +71,20 @@ class Block:
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.word_ptr = np.searchsorted(self.start, self.offsets)
 
+    def without_marks(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word without the bytes of `edge` at its ends, however many, and whether
+        there is anything else in it; a word of such bytes alone stays as it is.
+        """
+        inner = ~edge[self.data]
+        before = np.concatenate([[0], np.cumsum(inner)])
+        places = np.flatnonzero(inner)
+        low, high = before[self.start], before[self.end]
+        some = high > low
+        start, end = self.start.copy(), self.end.copy()
+        start[some] = places[low[some]]
+        end[some] = places[high[some] - 1] + 1
+        return start, end, some
+
     def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
         """Hashes of the byte ranges, which may not be empty."""
         if not len(start):
