@@ -7,13 +7,10 @@ the shared folder and reads it again for the next stage, so a lost executor cost
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.llm import decontamination, ngram_join, pieces, quality, secrets
-from ledgerlake.llm.tables import table
+from ledgerlake.llm.tables import discard, stored, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The stages over the documents of sf_dir. A stage's folder goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        kept = stored(stage(spark, docs, sf_dir), "pipeline")
+        if k:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
