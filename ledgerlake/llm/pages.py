@@ -6,8 +6,10 @@ its path (elements, class and id words), of its hashed words and of a few plain
 every block with the whole page in view. Blocks labelled as content are the text.
 
 There are no labels in the data. The network is fitted on a bounded sample of pages whose blocks are
-labelled by what elements and class words are for (`purpose`), and on the same blocks put into other
-layouts made up from the same lists, so that it doesn't hang on the layout of one site.
+labelled by what elements and class words are for (`purpose`), on the same blocks put into other
+layouts made up from the same lists, so that it doesn't hang on the layout of one site, and on the same
+pages with some or all of these elements and words hidden, so that it learns to tell content by its
+words, measures and neighbours where a page names nothing.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ EPOCHS = 5
 PATH_SLOTS = 1 << 10
 WORD_SLOTS = 1 << 11
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 24, 6, 6, 20
-#: Elements of a path that are looked at, counted from the block.
-DEPTH = 12
+#: Blocks that the network is fitted on at a time; longer pages of the sample come in runs of so many.
+RUN = 400
+#: Shares of telling words that are hidden in the copies of a page made for fitting.
+HIDDEN_SHARES = (1.0, 0.5)
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {
@@ -58,12 +62,15 @@ OTHER = [
 _OTHER = set(OTHER)
 _CONTENT = set(CONTENT)
 _ELEMENTS = {"nav", "footer", "aside", "form", "dialog"}
+_TELLING = {"article", "main", "nav", "header", "footer", "aside", "section", "form", "dialog"}
 _PIECES = re.compile(r"[a-z]+")
 _U = np.uint64
 
 
 class _Leaves(HTMLParser):
-    """Collects (text, path, characters inside links); a path is a tuple of element names and words."""
+    """Collects (text, path, characters inside links). A path has the element names and class words above
+    a block, from the outermost element on, however deep it stands; each counts where it comes first.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -76,8 +83,7 @@ class _Leaves(HTMLParser):
     def _end_block(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            above = [w for _, words in self.open[-DEPTH:] for w in words]
-            self.leaves.append((text, tuple(above), self.linked))
+            self.leaves.append((text, self.open[-1][1] if self.open else (), self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, k: int):
@@ -108,8 +114,10 @@ class _Leaves(HTMLParser):
         if tag in VOID:
             return
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-        words = tuple(dict.fromkeys("." + w for w in _PIECES.findall(named)))
-        self.open.append((tag, (tag, *words)))
+        above = self.open[-1][1] if self.open else ()
+        new = dict.fromkeys((tag, *("." + w for w in _PIECES.findall(named))))
+        new = tuple(w for w in new if w not in above)
+        self.open.append((tag, above + new if new else above))
         self.hidden += tag in UNSEEN
         self.links += tag == "a"
 
@@ -204,6 +212,21 @@ def layouts(page: list, draw: np.random.Generator, spare: list[str]) -> tuple[li
     return out, labels
 
 
+def hidden(page: list, share: float, draw: np.random.Generator) -> list:
+    """A page on which that share of telling elements are a plain `div` and of class words are gone."""
+    gone: dict[str, bool] = {}
+    out = []
+    for text, path, linked in page:
+        kept = []
+        for word in path:
+            telling = word in _TELLING or word.startswith(".")
+            if telling and gone.setdefault(word, bool(draw.random() < share)):
+                word = "" if word.startswith(".") else "div"
+            kept.append(word)
+        out.append((text, tuple(dict.fromkeys(filter(None, kept))), linked))
+    return out
+
+
 def _slot(word: str) -> int:
     code = 0
     for b in word.encode():
@@ -375,9 +398,7 @@ class Labeller:
         for epoch in range(epochs):
             order = draw.permutation(len(pages))
             for at in range(0, len(order), 16):
-                some = [k for k in order[at : at + 16].tolist() if 0 < pages[k].size <= 400]
-                if not some:
-                    continue
+                some = order[at : at + 16].tolist()
                 t += 1
                 rate = 0.02 * (1 - 0.8 * epoch / epochs)
                 for k, g in self.gradients([pages[j] for j in some], [labels[j] for j in some]).items():
@@ -388,19 +409,22 @@ class Labeller:
 
 
 def trained(htmls: list[str], seed: int = 0) -> Labeller:
-    """A labeller fitted on sample pages as they are and in made-up layouts."""
+    """A labeller fitted on sample pages as they are, in made-up layouts, and with telling words hidden."""
     draw = np.random.default_rng(seed)
     parsed = [x for x in map(leaves, htmls) if x]
     spare = [text for page in parsed for text, *_ in page][:20_000]
     pages, labels = [], []
     for page in parsed:
-        pages.append(page)
-        labels.append([purpose(path, text, linked) for text, path, linked in page])
+        own = [purpose(path, text, linked) for text, path, linked in page]
+        for made in (page, *(hidden(page, share, draw) for share in HIDDEN_SHARES)):
+            pages.append(made)
+            labels.append(own)
         for _ in range(LAYOUTS):
             made, of = layouts(page, draw, spare)
-            pages.append(made)
+            pages.append([(text, tuple(dict.fromkeys(path)), linked) for text, path, linked in made])
             labels.append(of)
-    return Labeller(seed).fit([_Sequence(x) for x in pages], labels)
+    runs = [(x[k : k + RUN], of[k : k + RUN]) for x, of in zip(pages, labels, strict=True) for k in range(0, len(x), RUN)]
+    return Labeller(seed).fit([_Sequence(x) for x, _ in runs], [of for _, of in runs])
 
 
 def extract_batch(htmls: list[str | None], labeller: Labeller) -> list[str]:
@@ -416,7 +440,8 @@ def extract_batch(htmls: list[str | None], labeller: Labeller) -> list[str]:
 def extract(df: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of (page_id, url, html).
 
-    The network is fitted on `sample_pages` pages at most, chosen by a hash. A NULL or empty page has
+    The network is fitted on `sample_pages` pages at most, of SAMPLE_CHARS characters at most, chosen by
+    a hash. A NULL or empty page has
     an empty text. Repeated pages have a row each; an empty table gives an empty result; other
     columns are ignored. White space is what Python's str.split takes for it.
     """
