@@ -266,7 +266,39 @@ _URLS = f"""
     FROM fitting
 """
 
+#: Every two documents with a common shingle are compared, and components follow links to their end: for
+#: tables of some thousand documents.
+_LINKED = """
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+        FROM worded
+    ),
+    shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+    links AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n
+        HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM sets
+        UNION
+        SELECT reached.doc_id, y FROM reached JOIN links ON other = x
+    )
+    SELECT doc_id, len(s) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+    FROM sets
+    JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x) USING (doc_id)
+"""
+
 ORACLES = {
+    "op2_ngram_jaccard": _LINKED,
     "op11_filter_audit": _STEPS,
     "op12_merkle_manifest": _merkle_sql(),
     "op13_url_filter": _URLS,
