@@ -1,6 +1,9 @@
 """Trained operators: held-out accuracy, brute force for their parts, and odd input."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm import language, pages, pieces, quality, toxicity
 from ledgerlake.llm.labelled import remainder
 from ledgerlake.llm.tables import table
+from ledgerlake.llm.words import blocks
 from tests.llm.frames import collected, documents, odd_texts
 
 SF = "/root/testdata/sf0.01"
@@ -92,6 +96,76 @@ def test_segments_by_definition():
         assert np.allclose([s for *_, s in found], [s for *_, s in want])
 
 
+def plain_words(text):
+    out = []
+    for word in re.findall(r"[^ \t-\r]+", text or ""):
+        word = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+        bare = re.sub(r"^[\x00-/:-`{-\x7f]+|[\x00-/:-`{-\x7f]+$", "", word)
+        out.append(bare or word)
+    return out
+
+
+def test_odds_from_plain_counts(spark):
+    rng = random.Random(8)
+    clean = ["zwölf", "walking", "walked", "walk", "**walker**", "of", "***", "日本語", "x" * 30]
+    bad = ["vileness", "vilest", "(((((vile)))))", "of", "walk", "Vilest!"]
+    rows = [(i, " ".join(rng.choices(bad if i % 4 == 0 else clean, k=rng.randrange(1, 9)))) for i in range(200)]
+    rows += [(300 + i, "unlabelled walk words vilely") for i in range(5)]
+    rows += [(r[0], r[1]) for r in odd_texts() if r[0] != 907]
+    labels = {i: int(i % 4 == 0) for i in range(150)} | {902: 0}
+    df = documents(spark, rows)
+    ids = np.array(sorted(labels))
+    odds = toxicity.Odds(*toxicity._of_classes(df, ids, np.array([labels[i] for i in ids.tolist()])))
+    odds.frequencies(df)
+
+    stems = lambda w: [*(w[:k] for k in toxicity.STEMS), w]
+    seen = [Counter(), Counter()]
+    every = Counter(w for _, text in rows for w in plain_words(text))
+    for i, text in rows:
+        if i in labels:
+            seen[labels[i]].update({(k, s) for w in plain_words(text) for k, s in enumerate(stems(w))})
+    of = [sum(n for (k, _), n in c.items() if k == len(toxicity.STEMS)) for c in seen]
+    share = of[1] / sum(of)
+
+    def score(word):
+        odd = share
+        for k, s in enumerate(stems(word)[:-1]):
+            a, b = seen[0][k, s], seen[1][k, s]
+            odd = (b + toxicity.LEAST * odd) / (a + b + toxicity.LEAST)
+        a, b = (c[len(toxicity.STEMS), word] for c in seen)
+        weight = toxicity.LEAST + (toxicity.PRIOR * every[word] / every.total() if a + b else 0)
+        a, b = a + weight * (1 - odd), b + weight * odd
+        error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        return np.log(b / a) - np.log(share / (1 - share)) - toxicity.CAUTION * error - toxicity.OFFSET
+
+    for _, text in [*rows, (0, "unknown vilegone wörter ******vile******")]:
+        (block,) = blocks(pa.array([text], pa.string()))
+        assert np.allclose(odds.scores(toxicity._tokens(block)), [score(w) for w in plain_words(text)])
+
+
+def test_chance_of_all_segments():
+    rng = random.Random(3)
+    texts = [[rng.expovariate(0.5) for _ in range(k)] for k in (0, 1, 2, 30, 0, 200)]
+    n, lam, k = np.array([5, 9, 40, 900, 0, 7000]), 0.7, 0.02
+
+    def plain(scores, n):
+        best = 0.0
+        for r in range(1, len(scores) + 1):
+            total = sum(lam * s - math.log(k * max(n, 1)) for s in sorted(scores, reverse=True)[:r])
+            if r == 1:
+                chance = math.log(1 - math.exp(-math.exp(-total)) + 1e-300)
+            elif total > r:
+                chance = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
+            else:
+                continue
+            best = max(best, -chance - math.log(r))
+        return best
+
+    flat, ptr = np.array([s for x in texts for s in x]), np.cumsum([0, *map(len, texts)])
+    found = toxicity.unlikely(flat, ptr, n, lam, k)
+    assert np.allclose(found, [plain(x, m) for x, m in zip(texts, n.tolist(), strict=True)])
+
+
 def test_rising_curve():
     x = np.array([0, 0, 1, 2, 3, 4, 5.0])
     knots, share = toxicity.rising(x, np.array([0, 0, 1, 0, 1, 1, 1.0]))
@@ -227,6 +301,55 @@ def test_pages(spark):
     assert pages.extract(stored.limit(0)).count() == 0
 
 
+def laid_out(html, telling):
+    """The page without class, id and role, and without elements that tell what they are for."""
+    html = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+    return html if telling else re.sub(r"<(/?)(article|main|nav|header|footer|aside|section|form|dialog)\b", r"<\1div", html)
+
+
+def test_pages_that_name_nothing(spark):
+    htmls = [h for (h,) in collected(table(spark, SF, "pages").orderBy("page_id"), "html")]
+    net = pages.trained(htmls[:120])
+    rest = htmls[120:]
+    article = ["\n".join(t for t, path, _ in pages.leaves(h) if "article" in path) for h in rest]
+    for telling in (True, False):
+        got = pages.extract_batch([laid_out(h, telling) for h in rest], net)
+        same = wrong = 0
+        for text, want in zip(got, article, strict=True):
+            a, b = Counter(text.split("\n")), Counter(want.split("\n"))
+            same += 2 * (a & b).total()
+            wrong += (a - b).total() + (b - a).total()
+        assert same / (same + wrong) > 0.9
+    # a reply stays a reply, however deep its thread
+    prose = "<p>Long prose of an article that goes on for a while, as they do, line after line.</p>"
+    reply = "<p>I liked this a lot, and would say so to anyone who asks me in the years to come.</p>"
+    for deep in (1, 14, 40):
+        thread = "<div class=comments>" + "<div>" * deep + reply + "</div>" * deep + "</div>"
+        for page in (prose * 3 + "</article>" + thread, prose * 3 + thread + "</article>"):
+            (text,) = pages.extract_batch(["<html><body><article><h1>T</h1>" + page + "</body></html>"], net)
+            assert "prose" in text and "liked" not in text
+
+
+def test_paths_hold_each_word_once():
+    page = "<div class='a b'><div class=b><ul class=c><li>x<ul><li>y</ul></ul></div></div><p>z"
+    assert [(t, path) for t, path, _ in pages.leaves(page)] == [
+        ("x", ("div", ".a", ".b", "ul", ".c", "li")),
+        ("y", ("div", ".a", ".b", "ul", ".c", "li")),
+        ("z", ("p",)),
+    ]
+    draw = np.random.default_rng(1)
+    bare = [("t", ("html", "main", ".a", "div", "p"), 0)]
+    assert pages.hidden(bare, 1.0, draw) == [("t", ("html", "div", "p"), 0)]
+    assert pages.hidden(bare, 0.0, draw) == bare
+
+
+def test_long_pages_are_fitted_in_runs(monkeypatch):
+    monkeypatch.setattr(pages, "RUN", 3)
+    page = "<nav>menu</nav><article>" + "<p>some words of an article</p>" * 10 + "</article><footer>end</footer>"
+    net = pages.trained([page] * 20)
+    assert pages.extract_batch([page], net) == ["\n".join(["some words of an article"] * 10)]
+
+
 def test_gradients_are_those_of_the_loss():
     page = [("some words here", ("html", "article", "p"), 0), ("x", ("html", ".ad"), 1), ("two words", ("nav",), 0)]
     sequences, labels = [pages._Sequence(page), pages._Sequence(page[:2])], [[1, 0, 0], [1, 0]]
