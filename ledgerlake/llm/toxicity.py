@@ -96,13 +96,12 @@ def _of_classes(df: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
         .select("y", "text")
         .mapInArrow(count, "key long, word boolean, clean long, toxic long")
         .groupBy("key")
-        .agg(F.max("word").alias("word"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .toPandas()
+        .agg(F.max("word").alias("word"), *(F.sum(c).cast("int").alias(c) for c in ("clean", "toxic")))
+        .toArrow()
     )
-    key = found["key"].to_numpy(np.int64).view(_U)
+    key = found["key"].to_numpy().view(_U)
     order = np.argsort(key)
-    columns = (found[c].to_numpy(t)[order] for c, t in (("word", bool), ("clean", np.int32), ("toxic", np.int32)))
-    return key[order], *columns
+    return key[order], *(found[c].to_numpy()[order] for c in ("word", "clean", "toxic"))
 
 
 def _of_corpus(df: DataFrame, held: np.ndarray) -> tuple[np.ndarray, int]:
@@ -125,8 +124,8 @@ def _of_corpus(df: DataFrame, held: np.ndarray) -> tuple[np.ndarray, int]:
 
     found = (
         df.select("text").mapInArrow(count, "at long, every long").groupBy("at").agg(F.sum("every").alias("every"))
-    ).toPandas()
-    at, every = found["at"].to_numpy(np.int64), found["every"].to_numpy(np.int64)
+    ).toArrow()
+    at, every = found["at"].to_numpy(), found["every"].to_numpy()
     out = np.zeros(len(held), np.int64)
     out[at[at >= 0]] = every[at >= 0]
     return out, int(every[at < 0].sum())
@@ -153,6 +152,8 @@ class Odds:
         """Takes the weights of words from their share of all documents."""
         every, words = _of_corpus(df, self.keys[self.word])
         self.weight[:-1][self.word] += PRIOR * every / max(1, words)
+        # tasks that score need no more than keys, counts and weights
+        self.word = None
 
     def scores(self, tokens: np.ndarray) -> np.ndarray:
         distinct, number = np.unique(tokens[-1], return_inverse=True)
