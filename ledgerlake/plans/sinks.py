@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import threading
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Target = tuple[str | None, ...]
 _LOOKUP_THREADS = 16
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+#: By Spark's defaults a split packs at most 32 files, each of one partition with two outcomes.
+_MOST_OPEN_FILES = 64
+_writing: dict[SparkSession, int] = {}
+_writing_lock = threading.Lock()
 
 
 class EmptyTargetError(ValueError):
@@ -41,6 +48,31 @@ def only_targets(df: DataFrame, columns: Sequence[str], targets: Sequence[Target
     )
 
 
+@contextmanager
+def open_side_by_side(spark: SparkSession) -> Iterator[None]:
+    """Writes by partition without a sort: a task keeps a file open for each partition it meets.
+
+    Spark otherwise sorts all rows of a split by partition, whose memory and spill follow the width
+    of the rows and not the bytes written. Rows of partitions beyond the number of open files are
+    sorted as before. A number that the session has set itself stays.
+    """
+    with _writing_lock:
+        own = spark in _writing or int(spark.conf.get(_OPEN_FILES)) <= 0
+        if own:
+            _writing[spark] = _writing.get(spark, 0) + 1
+            spark.conf.set(_OPEN_FILES, str(_MOST_OPEN_FILES))
+    try:
+        yield
+    finally:
+        # the last of several writes side by side takes the setting back
+        with _writing_lock:
+            if own:
+                _writing[spark] -= 1
+                if not _writing[spark]:
+                    del _writing[spark]
+                    spark.conf.unset(_OPEN_FILES)
+
+
 def write_partitions(
     df: DataFrame,
     path: str,

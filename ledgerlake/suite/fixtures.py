@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake import taxi
 from ledgerlake.operators import quality
-from ledgerlake.plans import batch
+from ledgerlake.plans import batch, sinks
 from ledgerlake.session import fresh_dir
 from ledgerlake.sources import files, landing
 from ledgerlake.spec import Dataset, Layout
@@ -155,9 +155,9 @@ def _land_part(rows: DataFrame, root: str, fleet: str, types: dict[str, str]) ->
         F.col(taxi.FLEET).alias("fleet"),
         F.col(taxi.FILE_MONTH).alias("month"),
     )
-    raw.hint("rebalance", "fleet", "month").write.mode("append").partitionBy(
-        "fleet", "month"
-    ).parquet(root)
+    # neither shuffled nor sorted: a task adds a file to each month it has rows of
+    with sinks.open_side_by_side(rows.sparkSession):
+        raw.write.mode("append").partitionBy("fleet", "month").parquet(root)
 
 
 def landed_partitions(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:

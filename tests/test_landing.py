@@ -1,10 +1,13 @@
 """Expected files, sizes, refresh decisions and integrity."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlake import taxi
 from ledgerlake.sources import landing
+from ledgerlake.suite import fixtures
 from tests.frames import rows
+from tests.test_sinks import OPEN_FILES, written  # noqa: F401
 
 LAYOUT = taxi.LAYOUT
 PARTITIONS = [("yellow", "2023-01"), ("yellow", "2023-02"), ("green", "2023-01")]
@@ -116,3 +119,29 @@ def test_integrity_of_published_sizes(spark):
 )
 def test_integrity_is_refused(spark, files, totals):
     assert integrity(spark, files, totals)[0] is False
+
+
+def test_trips_are_landed_where_they_are_read(spark, tmp_path, written):  # noqa: F811
+    items = [
+        (o, 7, 3, o % 7 + 1, 5.0, 100.0 + o, 0.05, 0.04, "RAN"[o % 3], "F", f"199{o % 8}-0{o % 9 + 1}-03")
+        for o in range(200)
+    ]
+    spark.createDataFrame(
+        items,
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate string",
+    ).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).coalesce(1).write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    written.clear()
+    root = fixtures.landing_root(spark, str(tmp_path))
+    assert len(written) == 3
+    for plan, open_files in written:
+        assert open_files > 0 and "Sort" not in plan and "Exchange" not in plan
+    assert int(spark.conf.get(OPEN_FILES)) == 0
+    landed = spark.read.option("basePath", root).parquet(f"{root}/fleet=*/month=*")
+    trips = fixtures.trips(spark, str(tmp_path))
+    assert rows(landed.groupBy("fleet", "month").count()) == rows(
+        trips.groupBy("taxi_type", "source_year_month").count()
+    )

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from ledgerlake.plans import sinks
@@ -168,3 +169,38 @@ def test_comments_with_quotes(spark, tmp_path):
     told = spark.sql(f"DESCRIBE TABLE {view}").first()["comment"]
     spark.sql(f"DROP VIEW {view}")
     assert told == "the driver's \\ count"
+
+
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Plan of each frame written as Parquet, and how many files a task may keep open for it."""
+    seen = []
+    parquet = DataFrameWriter.parquet
+
+    def told(writer, *args, **kwargs):
+        plan = writer._df._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan, int(spark.conf.get(OPEN_FILES))))
+        return parquet(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", told)
+    return seen
+
+
+def test_open_files_of_the_session_stay_and_the_last_write_takes_them_back(spark):
+    spark.conf.set(OPEN_FILES, "3")
+    try:
+        with sinks.open_side_by_side(spark):
+            assert spark.conf.get(OPEN_FILES) == "3"
+        assert spark.conf.get(OPEN_FILES) == "3"
+    finally:
+        spark.conf.unset(OPEN_FILES)
+    first, second = sinks.open_side_by_side(spark), sinks.open_side_by_side(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert int(spark.conf.get(OPEN_FILES)) > 0
+    second.__exit__(None, None, None)
+    assert int(spark.conf.get(OPEN_FILES)) == 0
