@@ -188,7 +188,7 @@ class Store:
         """Writes the rows into a new folder. A row outside the targets makes this fail.
 
         ``targets`` hold values of the leading partition columns; a table without partition columns is
-        written as a whole. Rows are written where they are read; ``rebalance`` adds a shuffle for
+        written as a whole. Rows are written where they are read, unsorted; ``rebalance`` adds a shuffle for
         inputs whose rows are not grouped by partition, and splits partitions that are too large.
         """
         folder = f"{self.root.rstrip('/')}/v-{uuid.uuid4().hex}"
@@ -202,7 +202,8 @@ class Store:
         # only leaves, so that a folder without them is an empty one
         writer = rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         try:
-            writer.partitionBy(*self.partition_cols).parquet(folder)
+            with sinks.open_side_by_side(spark):
+                writer.partitionBy(*self.partition_cols).parquet(folder)
         except Exception:
             sinks.delete(spark, folder)
             raise

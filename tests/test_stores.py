@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.plans import sinks, stores
 from tests.frames import rows
-from tests.test_sinks import ALL, KEYS, ODD, table
+from tests.test_sinks import ALL, KEYS, ODD, OPEN_FILES, table, written  # noqa: F401
 
 DDL = "id long, fleet string, month string"
 
@@ -155,3 +155,11 @@ def test_a_table_elsewhere_is_refused(spark, store):
     other = stores.Store(store.name, store.root + "x", DDL, KEYS)
     with pytest.raises(ValueError, match="already lies in"):
         other.replace(spark, table(spark, 0), ALL)
+
+
+def test_a_store_is_staged_without_a_sort(spark, store, written):  # noqa: F811
+    store.replace(spark, table(spark, 100, ALL[:2]), ALL[:2])
+    ((plan, open_files),) = written
+    assert open_files > 0 and "Sort" not in plan and "Exchange" not in plan
+    assert int(spark.conf.get(OPEN_FILES)) == 0
+    assert seen(spark, store) == BEFORE | {t: (3, 100) for t in ALL[:2]}
