@@ -90,8 +90,8 @@ def write_partitions(
     its old ones (or raises, with ``when_empty="raise"``). Dynamic overwrite is asked for on a
     path write: ``insertInto`` would ignore the option and replace the whole table.
 
-    Rows are written where they are read, without a shuffle. ``rebalance`` adds one for inputs
-    whose rows are not grouped by partition; it splits partitions that are too large.
+    Rows are written where they are read, without a shuffle or a sort. ``rebalance`` adds a shuffle
+    for inputs whose rows are not grouped by partition; it splits partitions that are too large.
     """
     if not targets:
         return
@@ -100,12 +100,13 @@ def write_partitions(
     guarded = only_targets(df, partition_cols[: len(targets[0])], targets)
     if rebalance:
         guarded = guarded.hint("rebalance", *partition_cols)
-    (
-        guarded.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_cols)
-        .parquet(path)
-    )
+    with open_side_by_side(spark):
+        (
+            guarded.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partition_cols)
+            .parquet(path)
+        )
     # A rewritten leaf has only new files, so one old file left means it got no rows.
     stale = [leaf for leaf, file in before.items() if _exists(spark, file)]
     if stale and when_empty == "raise":

@@ -189,6 +189,16 @@ def written(spark, monkeypatch):
     return seen
 
 
+def test_partitions_are_written_without_a_sort(spark, tmp_path, written):
+    sinks.write_partitions(table(spark, 0), str(tmp_path / "t"), KEYS, ALL)
+    ((plan, open_files),) = written
+    assert open_files > 0 and "Sort" not in plan and "Exchange" not in plan
+    assert int(spark.conf.get(OPEN_FILES)) == 0
+    with pytest.raises(Exception, match="row outside the target"):
+        sinks.write_partitions(table(spark, 7), str(tmp_path / "t"), KEYS, ALL[:2])
+    assert int(spark.conf.get(OPEN_FILES)) == 0
+
+
 def test_open_files_of_the_session_stay_and_the_last_write_takes_them_back(spark):
     spark.conf.set(OPEN_FILES, "3")
     try:
@@ -204,3 +214,13 @@ def test_open_files_of_the_session_stay_and_the_last_write_takes_them_back(spark
     assert int(spark.conf.get(OPEN_FILES)) > 0
     second.__exit__(None, None, None)
     assert int(spark.conf.get(OPEN_FILES)) == 0
+
+
+def test_more_partitions_in_a_task_than_open_files(spark, tmp_path):
+    target = str(tmp_path / "many")
+    cells = [("a", f"m{i:03d}") for i in range(150)]
+    mixed = spark.range(0, 600, 1, 1).selectExpr(
+        "id", "'a' AS fleet", "format_string('m%03d', id % 150) AS month"
+    )
+    sinks.write_partitions(mixed, target, KEYS, cells)
+    assert stored(spark, target) == {("a", f"m{i:03d}"): (4, i) for i in range(150)}
