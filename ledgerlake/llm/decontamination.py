@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.tables import in_small_batches
 from ledgerlake.llm.words import Block, blocks, mix
 
 #: Edits allowed, as a share of an item's words.
@@ -282,6 +283,7 @@ def nearest(
 
 def _groups(benchmark: DataFrame):
     """Groups of items, each of about GROUP_CHARS characters, one at a time."""
+    in_small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         F.col("item_id").isNotNull() & F.col("text").isNotNull()
     )

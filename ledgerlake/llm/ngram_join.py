@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.components import components
 from ledgerlake.llm.signature_tree import Tree, bitmap, dual_traversal, fold
-from ledgerlake.llm.tables import stored
+from ledgerlake.llm.tables import in_small_batches, stored
 from ledgerlake.llm.words import blocks, mix, shingles
 
 WORDS = 4
@@ -83,7 +83,14 @@ def _frequent(df: DataFrame, words: int) -> np.ndarray:
             yield often(held)
 
     def often(held):
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        # sorted in place: the copies that np.unique makes are several times as large
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        first = np.flatnonzero(new)
+        tokens, counts = tokens[first], np.diff(first, append=len(tokens))
         some = counts >= FREQUENT
         return pa.RecordBatch.from_arrays(
             [pa.array(tokens[some].view(np.int64)), pa.array(counts[some])], names=["token", "n"]
@@ -557,6 +564,7 @@ def _families(df: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFra
     (comp) and its family, within which all its links lie. Ties (a, b) are the links behind the
     provisional components.
     """
+    in_small_batches(df.sparkSession)
     rows = stored(_checksums(df, words), "op2-checksums")
     named = (
         rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
+from ledgerlake.llm.tables import in_small_batches
 from ledgerlake.llm.words import Block, blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -330,6 +331,7 @@ def encoded(df: DataFrame, model_file: str = MODEL) -> DataFrame:
     replaced, all others are kept; rows are encoded one by one, so repeated rows stay repeated, and
     an empty table gives an empty result.
     """
+    in_small_batches(df.sparkSession)
     automaton, stands = load(model_file)
     kept = [c for c in df.columns if c not in ("ids", "n_pieces", "round_trip")]
 
@@ -361,6 +363,7 @@ def encoded(df: DataFrame, model_file: str = MODEL) -> DataFrame:
 
 def decoded(df: DataFrame, model_file: str = MODEL) -> DataFrame:
     """The rows of (.., ids) with `text` decoded from the ids; NULL ids give the empty text."""
+    in_small_batches(df.sparkSession)
     _, stands = load(model_file)
     kept = [c for c in df.columns if c != "text"]
 

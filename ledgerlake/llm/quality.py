@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.labelled import look_up, remainder, sample
+from ledgerlake.llm.tables import in_small_batches
 from ledgerlake.llm.words import Block, blocks, mix
 
 WORD_SLOTS = 1 << 13
@@ -33,6 +34,8 @@ SAMPLE_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 40
 THRESHOLD = 0.7
+#: Bytes of text whose words' vectors are held at a time: some 400 bytes a word.
+BLOCK = 1 << 18
 FEATURES = 2 * DIMS + 2
 
 _U = np.uint64
@@ -81,7 +84,7 @@ def _context(df: DataFrame) -> np.ndarray:
         index = _random_vectors()
         total = np.zeros((SLOTS, DIMS), np.int64)
         for batch in batches:
-            for block in blocks(batch["text"]):
+            for block in blocks(batch["text"], BLOCK):
                 word, shape = _slots(block)
                 of = np.repeat(np.arange(block.rows), np.diff(block.word_ptr))
                 own = index[word] + index[shape]
@@ -132,7 +135,7 @@ def word_vectors(df: DataFrame) -> np.ndarray:
 def _pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Per text the means of its words' vectors and outlines, and how many words there are."""
     rows = [np.zeros((0, FEATURES), np.float32)]
-    for block in blocks(texts):
+    for block in blocks(texts, BLOCK):
         slots = _slots(block)
         n = np.diff(block.word_ptr)
         x = np.zeros((block.rows, FEATURES), np.float32)
@@ -219,6 +222,7 @@ class Network:
 
 def fit(df: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[np.ndarray, Network]:
     """Word vectors of the corpus, and a network fitted on the labelled sample."""
+    in_small_batches(df.sparkSession)
     ids, y = sample(labels, "quality", remainder(F.col("doc_id"), 4) != 2, sample_rows)
     vectors = word_vectors(df)
     known = (

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a task hands to Python at a time. A batch is held several times over by each running
+#: task: in the executor's buffers, in its worker's, and in the arrays worked out from it.
+BATCH_BYTES = 1 << 20
+
 _made: list[str] = []
 
 
@@ -14,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session's tasks hand rows to Python in batches of about BATCH_BYTES.
+
+    Spark's own bounds are 10,000 rows and 64 MB; a longer row is a batch of its own.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach, as the cluster names it in spark.checkpoint.dir.
 

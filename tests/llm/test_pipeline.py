@@ -1,15 +1,20 @@
 """The pipeline stage by stage, and the registration of what may be taken out."""
 
 import os
+import random
 import subprocess
 import sys
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlake.llm import decontamination, ngram_join, quality, queries, secrets
-from ledgerlake.llm.tables import table
+from ledgerlake.llm import decontamination, ngram_join, pieces, quality, queries, secrets
+from ledgerlake.llm.tables import BATCH_BYTES, table
+from tests.llm.frames import documents, prose
 from tests.oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +52,43 @@ def test_stages_of_nothing(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda spark, docs: quality.accepted(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")),
+        lambda spark, docs: ngram_join.one_of_each(docs),
+        lambda spark, docs: decontamination.clean(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
+        lambda spark, docs: pieces.encoded(docs),
+    ],
+)
+def test_tasks_hand_small_batches_to_python(spark, operator):
+    rng = random.Random(3)
+    docs = documents(spark, [(k, prose(rng, 10)) for k in range(20)])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    assert operator(spark, docs).count() <= 20
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    # 4 MB in one partition
+    long = spark.range(0, 2000, 1, 1).select(F.expr("rpad(cast(id as string), 2000, 'x')").alias("text"))
+    rows = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(rows) == 2000 and max(rows) * 2000 <= BATCH_BYTES
+
+
+def test_word_vectors_of_a_batch_are_held_by_blocks():
+    rng = random.Random(4)
+    texts = pa.array([prose(rng, 300) for _ in range(BATCH_BYTES // 1500)])
+    vectors = np.random.default_rng(0).normal(size=(quality.SLOTS, quality.DIMS)).astype(np.float32)
+    pooled = quality._pooled(texts.slice(0, 5), vectors)  # tables that stay are made now
+    tracemalloc.start()
+    whole = quality._pooled(texts, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (whole[:5] == pooled).all() and peak < 24 << 20
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_registered_queries_agree_with_sql(spark, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
